@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, mixing, sharding
+from . import decontam, exact_dedup, importance, langid, line_dedup, mixing, records, sharding, toxicity
 
-_MODULES = (sharding, decontam, exact_dedup, mixing)
+_MODULES = (langid, sharding, toxicity, importance, decontam, records, exact_dedup, mixing, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
