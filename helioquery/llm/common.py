@@ -7,9 +7,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,13 @@ def crc32_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string"))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in short slices, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 # -- hashing of words in numpy ---------------------------------------------------------------------
 
 _U = np.uint64

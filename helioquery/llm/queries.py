@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, importance, langid, line_dedup, mixing, records, sharding, toxicity
+from . import decontam, exact_dedup, importance, jaccard_join, langid, line_dedup, mixing, records, sharding, toxicity
 
-_MODULES = (langid, sharding, toxicity, importance, decontam, records, exact_dedup, mixing, line_dedup)
+_MODULES = (langid, sharding, toxicity, importance, decontam, records, exact_dedup, mixing, line_dedup, jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -70,8 +70,8 @@ def choose(found: list[np.ndarray], y: np.ndarray, count: int, floor: float) ->
     return best[g[best] >= floor]
 
 
-def train(found: list[np.ndarray], y: np.ndarray, count: int = 512, floor: float = 24.0, factors: int = 8, steps: int = 300,
-          rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> Model:
+def train(found: list[np.ndarray], y: np.ndarray, count: int = 1024, floor: float = 24.0, factors: int = 8, steps: int = 200,
+          rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> Model:
     """Fit on sets of buckets and 0/1 labels."""
     y = np.asarray(y, np.float32)
     chosen = choose(found, y, count, floor)
@@ -96,7 +96,7 @@ def train(found: list[np.ndarray], y: np.ndarray, count: int = 512, floor: float
     return Model(place, float(p[0][0]), p[1].astype(float), p[2].astype(float))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 16_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 24_000) -> Model | None:
     """A model from the documents that ``labels`` (id, label) names; None without any."""
     ship(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
