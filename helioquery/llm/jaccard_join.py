@@ -8,8 +8,8 @@ works in it by regions, windows and recursion:
    partner lies in the ring of the smaller set or the next, so sets near a ring's lower edge are replicated into the
    rings of their possible smaller partners.
 2. A ring's sets are cut into parts by a hash of the shingle, more parts than shingles can differ (by some spare ones):
-   two similar sets agree wholly in one part, with distance 0 there, so sets with an equal part are in one cell. Parts
-   of one shingle or none, which far sets share, are left out as long as the spare parts make up for them.
+   two similar sets agree wholly in one part, with distance 0 there, so sets with an equal part are in one cell. Small
+   parts (none or one shingle), which far sets share, are left out as long as the spare parts make up for them.
 3. The least class of a cell is a pivot; the sets that share a cell with it are its Voronoi region (a set may lie in
    several: the windows of step 1 and the several parts replicate it). Any similar pair is together in a region.
 4. In a region, distances are bounded from below by counts of shingles in hash buckets (the L1 distance of these counts
@@ -52,6 +52,7 @@ class Metric:
         while lows[-1] < 2**31:
             lows.append(max(lows[-1] + 1, int(np.ceil(lows[-1] * _RING))))
         self.lows = np.array(lows)
+        self._parts: dict[int, tuple[int, int, int]] = {}
 
     def ring(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, "right")) - 1
@@ -60,13 +61,24 @@ class Metric:
         """Most shingles in which a set of n and a larger or equal one can differ."""
         return n * (self.den - self.num) // self.num
 
-    def parts(self, ring: int) -> tuple[int, int]:
-        """Number of parts and of spare parts of a ring; no parts where only equal sets are similar."""
-        d = self.differ(int(self.lows[ring + 1]) - 1)
-        if not d:
-            return 0, 0
-        spare = min(d // 12, 2 + d // 40)
-        return d + 1 + spare, spare
+    def parts(self, ring: int) -> tuple[int, int, int]:
+        """Number of parts of a ring, of spare ones, and the most shingles of a part that the spare ones make up for (-1: none).
+        No parts where only equal sets are similar."""
+        if ring not in self._parts:
+            low, d = int(self.lows[ring]), self.differ(int(self.lows[ring + 1]) - 1)
+            self._parts[ring] = (d + 1, 0, -1) if d else (0, 0, -1)
+            for small, most in ((0, 0.3), (1, 0.15)) if d >= 8 else ():
+                count = d + 1
+                for _ in range(50):  # as many spare parts as a small set has small parts, nearly always
+                    load = low / count
+                    expected = count * np.exp(-load) * (1 + load * small)
+                    spare = int(np.ceil(expected + 3 * np.sqrt(expected)))
+                    if d + 1 + spare <= count or spare > most * d:
+                        break
+                    count = d + 1 + spare
+                if spare <= most * d:
+                    self._parts[ring] = (count, count - d - 1, small)
+        return self._parts[ring]
 
     def shingles(self, text: str | None) -> np.ndarray:
         return shingle_hashes(word_hashes((text or "").encode().translate(FOLD)), self.width)
@@ -79,7 +91,7 @@ class Metric:
         n, out = len(s), []
         h = mix(s ^ _SEEDS)
         for ring in range(self.ring(-(-n * self.num // self.den)), self.ring(n) + 1):
-            count, spare = self.parts(ring)
+            count, spare, most = self.parts(ring)
             if not count:
                 continue
             part = (h % np.uint64(count)).astype(np.int64)
@@ -91,7 +103,7 @@ class Metric:
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[full]
                 total[full] = np.add.reduceat(mix(h[order] + np.uint64(ring)), starts)
                 key = mix(total + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ring * 7919 + 1))
-            small = sizes < 2
+            small = sizes <= most
             out.append(key[~small] if small.sum() <= spare else key)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
