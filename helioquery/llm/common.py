@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -63,6 +64,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded(into: list[str]) -> Iterator[None]:
+    """Put the paths of all tables written meanwhile into a list."""
+    start = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        into += [p for _, p in _WRITTEN[start:]]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read any more."""
+    for path in paths:
+        delete(spark, path)
+    _WRITTEN[:] = [w for w in _WRITTEN if w[1] not in paths]
+    paths.clear()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

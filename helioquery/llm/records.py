@@ -19,10 +19,12 @@ the text; an empty table gives no records; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, ship, written
+from .common import fresh_path, partitions, ship, slices, written
 
 MAGIC = b"HQINDEX1"
 _MASK_DELTA = 0xA282EAD8
@@ -40,7 +42,7 @@ _SPACE = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s\s")
 #: A stop after a letter or digit and before white space.
 _STOP = re.compile(r"(?<=[^\W_])[,.](?=\s)")
-_CACHE = 500_000
+_CACHE = 250_000
 _SUB_BATCH = 1 << 20
 
 
@@ -99,51 +101,78 @@ def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:
         return read_payload(next(read_records(f)))
 
 
+class _Places(dict):
+    """Number of each piece; pieces not seen yet get the next number and are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
     """Whole texts to ids, with a bounded memory of pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 16, np.uint32), 0
-        self.count = 0
-
-    def _add(self, pieces: list[str]) -> None:
-        """Encode pieces and keep them; those with a leading space are joined, so that one call encodes many."""
-        joined = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        apart = [p for p in pieces if len(p) < 2 or p[0] != " " or p[1].isspace()]
-        runs = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        for e, run in zip(self.tokenizer.encode_batch(["".join(r) for r in runs], add_special_tokens=False), runs, strict=True):
-            ends = np.cumsum([len(p) for p in run])
-            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
-            self._keep(run, np.array(e.ids, np.uint32), np.bincount(np.searchsorted(ends, begin, "right"), minlength=len(run)))
-        for e, piece in zip(self.tokenizer.encode_batch(apart, add_special_tokens=False), apart, strict=True):
-            self._keep([piece], np.array(e.ids, np.uint32), np.array([len(e)]))
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.spaced = np.zeros(size, bool)  # tokens that begin with a space, as byte-level vocabularies write it
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spaced[i] = token[:1] == "\u0120"
+        self.line_end = self.tokenizer.token_to_id("\u010a")
+        self.place = _Places()
+        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _add(self) -> None:
+        """Encode the pieces listed as new. Pieces that begin with their only space, and pieces without white space, are
+        joined to be encoded together; spaces and line ends show in the ids where each one ends."""
+        pieces, first = self.place.new, len(self.place) - len(self.place.new)
+        lead, bare, odd = [], [], []
+        for i, p in enumerate(pieces, first):
+            kind = lead if p[:1] == " " and len(p) > 1 and len(p.split()) == 1 and not p[1:2].isspace() and not p[-1].isspace() else bare if p and len(p.split()) == 1 and not p[0].isspace() and not p[-1].isspace() else odd
+            kind.append((i, p))
+        for i, p in odd:
+            self._keep([i], self._ids(p), np.zeros(1, int))
+        for k in range(0, len(lead), 1000):
+            run = lead[k : k + 1000]
+            ids = self._ids("".join([p for _, p in run]))
+            self._keep([i for i, _ in run], ids, np.flatnonzero(self.spaced[ids]))
+        for k in range(0, len(bare), 1000):
+            run = bare[k : k + 1000]
+            ids = self._ids("\n".join([p for _, p in run]))
+            ends = np.flatnonzero(ids == self.line_end)
+            self._keep([i for i, _ in run], np.delete(ids, ends), np.concatenate(([0], ends - np.arange(len(ends)))))
+        self.place.new = []
+
+    def _keep(self, numbers: list[int], ids: np.ndarray, starts: np.ndarray) -> None:
+        if len(starts) != len(numbers):
+            raise ValueError("this tokenizer does not part texts at spaces and line ends")
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.count + len(pieces) >= len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        while max(numbers) >= len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.count + 1 : self.count + 1 + len(pieces)] = self.used + np.cumsum(lengths)
-        self.place.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.starts[numbers] = self.used + starts
+        self.lengths[numbers] = np.diff(np.append(starts, len(ids)))
         self.used += len(ids)
-        self.count += len(pieces)
 
-    def _forget(self, pieces: list[str]) -> None:
-        """Drop the pieces added last."""
-        for p in pieces:
-            del self.place[p]
-        self.count -= len(pieces)
-        self.used = int(self.starts[self.count])
+    def _forget(self, size: int, used: int) -> None:
+        """Drop the pieces numbered from ``size`` on."""
+        while len(self.place) > size:
+            self.place.popitem()
+        self.used = used
 
     def pieces(self, text: str) -> list[str]:
         if "\0" in text or any(a in text for a in self.added):
@@ -153,18 +182,18 @@ class Encoder:
         return _STOP.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        size, used = len(self.place), self.used
         cut = [self.pieces(t) for t in texts]
-        every = [p for c in cut for p in c]
-        new = list(set(every).difference(self.place))
-        self._add(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-        starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        counts = [len(c) for c in cut]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
+        self._add()
+        starts, lengths = self.starts[at], self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
-        if self.count > _CACHE:  # the first pieces seen hold the common ones
-            self._forget(new)
-        bounds = np.concatenate(([0], ends))[np.cumsum([0] + [len(c) for c in cut])]
+        if len(self.place) > _CACHE:  # the first pieces seen hold the common ones
+            self._forget(size, used)
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *counts])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -205,7 +234,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
         own = f"{name}.{task.taskAttemptId()}"
         offsets, at, tokens = [], 0, 0
         with store.open_output_stream(own) as out:
-            for batch in batches:
+            for batch in slices(batches):
                 for ids, texts in _sub_batches(batch["id"].to_pylist(), batch["text"].to_pylist()):
                     for doc_id, coded in zip(ids, encoder.encode(texts), strict=True):
                         record = frame(payload_of(doc_id, np.append(coded, np.uint32(end_id)), encoder.width))
