@@ -47,11 +47,14 @@ def covered_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_
     return written(lines.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), "covered")
 
 
-def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, the text without the removed lines, n_lines (before) and n_removed."""
+def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = 4_000_000) -> DataFrame:
+    """``docs`` with its columns, the text without the removed lines, n_lines (before) and n_removed.
+
+    Up to ``broadcast_lines`` numbers of lines (8 bytes each) are broadcast, so texts stay where they are; more are joined by a shuffle."""
     cover = covered_lines(docs, width, id_col, text_col).withColumnsRenamed({"id": "_id", "th": "_th", "removed": "_removed"})
     docs = docs.drop("n_lines", "n_removed", "_id", "_th", "_removed")
-    joined = docs.join(cover, (F.coalesce(F.col(id_col), F.lit(_LAST)) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
+    held = cover.agg(F.coalesce(F.sum(F.size("_removed") + 8), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(cover) if held <= broadcast_lines else cover, (F.coalesce(F.col(id_col), F.lit(_LAST)) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
     lines = _lines(text_col)
     keep = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("_removed"))
     cleaned = F.array_join(F.transform(keep, lambda i: F.get(lines, i.cast("int"))), "\n")
