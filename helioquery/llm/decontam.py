@@ -115,7 +115,7 @@ class _Matchers:
         else:
             for b in self.shipped:
                 yield Matcher(b.value, self.width)
-                b.unpersist()
+                vars(b).pop("_value", None)  # a worker keeps one block
 
 
 _last: list = [None, None]
