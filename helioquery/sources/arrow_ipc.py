@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 _BATCHES = 16
 
 
@@ -82,6 +84,7 @@ class ArrowFile(DataSource):
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(ArrowFile)
     found = spark.read.format("arrow_ipc")
     if columns:
@@ -94,6 +97,7 @@ def write(df: DataFrame, path: str, stream: bool = False, compression: str | Non
 
     A repeated task replaces its file whole.
     """
+    ship(df.sparkSession)
     store, top = pafs.FileSystem.from_uri(path)
     store.create_dir(top)
     names = df.schema.names
