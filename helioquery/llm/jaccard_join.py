@@ -12,11 +12,13 @@ works in it by regions, windows and recursion:
    parts (none or one shingle), which far sets share, are left out as long as the spare parts make up for them.
 3. The least class of a cell is a pivot; the sets that share a cell with it are its Voronoi region (a set may lie in
    several: the windows of step 1 and the several parts replicate it). Any similar pair is together in a region.
-4. In a region, distances are bounded from below by counts of shingles in hash buckets (the L1 distance of these counts
-   is a metric that never exceeds the symmetric difference). Sets near the pivot are compared with it exactly; those
+4. In a region, distances are bounded from below by sketches, the parities of the numbers of shingles in hash buckets
+   (their Hamming distance is a metric that never exceeds the symmetric difference). Sets near the pivot are compared with it exactly; those
    that are linked to it need not be compared with each other. The others are compared with all sets in the window that
-   the triangle inequality leaves around their L1 distance to the pivot, first by counts, then exactly. Regions above
-   ``region_rows`` are cut into blocks and joined block by block, so no task holds more than two blocks.
+   the triangle inequality leaves around their sketch's distance to the pivot's, first by sketches; those with a possible
+   partner are compared exactly, leaving out what links connect already, so a region gives no more links than members.
+   Regions above ``region_rows`` sets or ``region_shingles`` are cut into blocks and joined block by block, so no task
+   holds more than two blocks.
 
 Document pivots alone do not do for step 1: unrelated texts have Jaccard distance close to 1 to every pivot, and
 windows of twice 1-t would replicate everything everywhere.
@@ -30,13 +32,15 @@ component only if no other id is there; rows with equal ids are separate documen
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, join_hot, mix, partitions, shingle_hashes, ship, word_hashes, written
+from .common import FOLD, join_hot, mix, partitions, shingle_hashes, ship, slices, word_hashes, written
 from .components import components
 
 _RING = 1.5
@@ -44,7 +48,7 @@ _SEEDS = np.uint64(0xA0761D6478BD642F)
 
 
 class Metric:
-    """Rings, parts and counts for similarity ``num/den`` of shingles of ``width`` words."""
+    """Rings, parts and sketches for similarity ``num/den`` of shingles of ``width`` words."""
 
     def __init__(self, num: int, den: int, width: int):
         self.num, self.den, self.width = num, den, width
@@ -67,12 +71,12 @@ class Metric:
         if ring not in self._parts:
             low, d = int(self.lows[ring]), self.differ(int(self.lows[ring + 1]) - 1)
             self._parts[ring] = (d + 1, 0, -1) if d else (0, 0, -1)
-            for small, most in ((0, 0.3), (1, 0.15)) if d >= 8 else ():
+            for small, most in ((0, 1.0), (1, 0.15)) if d >= 2 else ():
                 count = d + 1
                 for _ in range(50):  # as many spare parts as a small set has small parts, nearly always
                     load = low / count
                     expected = count * np.exp(-load) * (1 + load * small)
-                    spare = int(np.ceil(expected + 3 * np.sqrt(expected)))
+                    spare = int(np.ceil(expected + (3 if d >= 20 else 1.5) * np.sqrt(expected)))
                     if d + 1 + spare <= count or spare > most * d:
                         break
                     count = d + 1 + spare
@@ -107,11 +111,11 @@ class Metric:
             out.append(key[~small] if small.sum() <= spare else key)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    def counts(self, s: np.ndarray) -> bytes:
-        """Shingles in each of a power of two hash buckets, some six to a bucket, at most 255 each."""
-        buckets = 1 << max(4, (len(s) // 6).bit_length())
-        at = (s >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
-        return np.minimum(np.bincount(at, minlength=buckets), 255).astype(np.uint8).tobytes()
+    def sketch(self, s: np.ndarray) -> bytes:
+        """For each of a power of two hash buckets, two to four for a shingle, whether it holds an odd number of shingles."""
+        buckets = 1 << max(6, (4 * len(s)).bit_length() - 1)
+        at = (s & np.uint64(buckets - 1)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(bool)).tobytes()
 
 
 def class_of(s: np.ndarray) -> int:
@@ -120,23 +124,23 @@ def class_of(s: np.ndarray) -> int:
 
 
 def doc_sets(docs: DataFrame, metric: Metric, id_col: str, text_col: str) -> DataFrame:
-    """id, n (shingles), c (class; null without words), keys, counts of every row."""
+    """id, th (hash of the text), n (shingles), c (class; null without words), keys and sketch of every row."""
 
     def made(batches):
-        for batch in batches:
-            n, c, keys, counts = [], [], [], []
-            for text in batch.column(1).to_pylist():
+        for batch in slices(batches, 512):
+            n, c, keys, sketch = [], [], [], []
+            for text in batch.column(2).to_pylist():
                 s = metric.shingles(text)
                 n.append(len(s))
                 c.append(class_of(s) if len(s) else None)
                 keys.append(metric.keys(s).astype(np.int64))
-                counts.append(metric.counts(s))
+                sketch.append(metric.sketch(s))
             lengths = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), listed, pa.array(counts, pa.binary())],
-                                             names=["id", "n", "c", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), listed, pa.array(sketch, pa.binary())],
+                                             names=["id", "th", "n", "c", "keys", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(made, "id long, n long, c long, keys array<long>, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), text_col).mapInArrow(made, "id long, th long, n long, c long, keys array<long>, sketch binary")
 
 
 def pivots(sets: DataFrame) -> DataFrame:
@@ -161,79 +165,128 @@ def pivots(sets: DataFrame) -> DataFrame:
     return cells.mapInArrow(starred, "p long, x long").distinct()
 
 
-def _folded(counts: list[bytes]) -> np.ndarray:
-    """Counts as rows of equal length: that of the shortest, neighbours added."""
-    size = min(map(len, counts))
-    return np.stack([np.frombuffer(c, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32) for c in counts])
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of equal length: that of the shortest, the parts of longer ones added modulo 2."""
+    size = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(c, np.uint64).reshape(-1, size // 8), axis=0) for c in sketches])
+
+
+def _apart(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hamming distances; never more than the symmetric difference of the sets."""
+    return np.bitwise_count(rows ^ row).sum(axis=1, dtype=np.int64)
 
 
-def _may(metric: Metric, l1: np.ndarray, a, b) -> np.ndarray:
-    return metric.similar((a + b - l1) // 2, a, b)
+def _may(metric: Metric, least: np.ndarray, a, b) -> np.ndarray:
+    """Whether sets of a and b elements that differ in ``least`` at least can be similar."""
+    return metric.similar((a + b - least) // 2, a, b)
 
 
 def near_pivot(regions: DataFrame, metric: Metric) -> DataFrame:
-    """Of (p, x, n, counts, pn, pcounts), the (p, x) whose counts allow a link."""
+    """Of (p, x, n, sketch, pn, psketch), the (p, x) whose sketches allow a link."""
 
     def bounded(batches):
         for batch in batches:
-            cols = {k: batch[k].to_pylist() for k in ("p", "x", "n", "counts", "pn", "pcounts")}
+            cols = {k: batch[k].to_pylist() for k in ("p", "x", "n", "sketch", "pn", "psketch")}
             keep = []
             for i in range(batch.num_rows):
-                both = _folded([cols["counts"][i], cols["pcounts"][i]])
-                keep.append(bool(_may(metric, np.abs(both[0] - both[1]).sum(), cols["n"][i], cols["pn"][i])))
+                both = _folded([cols["sketch"][i], cols["psketch"][i]])
+                keep.append(bool(_may(metric, _apart(both[:1], both[1])[0], cols["n"][i], cols["pn"][i])))
             yield pa.RecordBatch.from_arrays([batch["p"], batch["x"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return regions.mapInArrow(bounded, "a long, b long")
 
 
-def within_region(metric: Metric):
-    """Pairs of one block pair of a region, at least one of which is not linked to the pivot, that their counts allow."""
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _folded([*pdf["counts"], *pdf["pcounts"].iloc[:1]])
-        rows, pivot = rows[:-1], rows[-1]
-        n, x = pdf["n"].to_numpy(), pdf["x"].to_numpy()
-        far, block = pdf["far"].to_numpy(), pdf["block"].to_numpy()
-        left, right = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        to_pivot = np.abs(rows - pivot).sum(axis=1)
-        order = np.argsort(to_pivot, kind="stable")
-        ranked = to_pivot[order]
-        out: list[np.ndarray] = []
-        for i in np.flatnonzero(far):
-            reach = metric.differ(int(n[i]))
-            window = order[np.searchsorted(ranked, to_pivot[i] - reach) : np.searchsorted(ranked, to_pivot[i] + reach, "right")]
-            if left != right:
-                window = window[block[window] != block[i]]
-            window = window[(x[window] != x[i]) & (~far[window] | (x[window] > x[i])) & _may(metric, np.abs(n[window] - n[i]), n[window], n[i])]
-            l1 = np.abs(rows[window] - rows[i]).sum(axis=1)
-            hit = x[window[_may(metric, l1, n[window], n[i])]]
-            out.append(np.stack((np.minimum(hit, x[i]), np.maximum(hit, x[i]))))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-    return joined
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, metric: Metric, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that are similar, from the shingles of one document each."""
-    pairs = written(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    needed = written(classes.join(named, "c", "left_semi").select("rep"), "needed")
-    n = needed.count()
-    hint = F.broadcast if n <= broadcast_rows else (lambda df: df)
+class _Block:
+    """Members of one block pair of a region, ordered by their sketch's distance to the pivot's."""
+
+    def __init__(self, pdf: pd.DataFrame, metric: Metric):
+        rows = _folded([*pdf["sketch"], *pdf["psketch"].iloc[:1]])
+        self.metric, self.rows = metric, rows[:-1]
+        self.n, self.x, self.far, self.block = (pdf[k].to_numpy() for k in ("n", "x", "far", "block"))
+        self.apart_blocks = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
+        self.to_pivot = _apart(self.rows, rows[-1])
+        self.order = np.argsort(self.to_pivot, kind="stable")
+        self.ranked = self.to_pivot[self.order]
+
+    def partners(self, i: int, skip: np.ndarray | None = None) -> np.ndarray:
+        """Members that may be similar to member i, by window, sizes and sketches; of two far ones one has the other."""
+        reach = self.metric.differ(int(self.n[i]))
+        w = self.order[np.searchsorted(self.ranked, self.to_pivot[i] - reach) : np.searchsorted(self.ranked, self.to_pivot[i] + reach, "right")]
+        keep = (self.x[w] != self.x[i]) & (~self.far[w] | (self.x[w] > self.x[i])) & _may(self.metric, np.abs(self.n[w] - self.n[i]), self.n[w], self.n[i])
+        if self.apart_blocks:
+            keep &= self.block[w] != self.block[i]
+        if skip is not None:
+            keep &= ~skip[w]
+        w = w[keep]
+        return w[_may(self.metric, _apart(self.rows[w], self.rows[i]), self.n[w], self.n[i])]
+
+
+def open_members(metric: Metric):
+    """Members of a block pair that have a possible partner not yet connected with them."""
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(pdf, metric)
+        used = np.zeros(len(pdf), bool)
+        for i in np.flatnonzero(b.far):
+            w = b.partners(i)
+            used[w] = True
+            used[i] |= len(w) > 0
+        return pdf.loc[used, ["p", "x"]]
+
+    return found
+
+
+def region_links(metric: Metric):
+    """Links within a block pair that connect what is connected there, each found exactly: a member is compared only with
+    those that no link connects with it yet."""
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x", ignore_index=True)
+        b = _Block(pdf, metric)
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        label = np.where(b.far, np.arange(len(pdf)), -1)  # those linked to the pivot are one already
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(b.far):
+            w = b.partners(i, label == label[i])
+            for at in range(0, len(w), 512):
+                part = w[at : at + 512]
+                part = part[label[part] != label[i]]
+                if not len(part):
+                    continue
+                flat = np.concatenate([sets[k] for k in part])
+                place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+                starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in part])[:-1]))
+                common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), starts)
+                for k in part[metric.similar(common, b.n[part], b.n[i])]:
+                    if label[k] != label[i]:
+                        out.append((min(b.x[i], b.x[k]), max(b.x[i], b.x[k])))
+                        label[label == label[k]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return linked
+
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, metric: Metric, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """c, s (sorted shingles) of the classes in ``wanted`` (c), from one document each."""
+    needed = written(classes.join(wanted.distinct(), "c", "left_semi").select("rep"), "needed")
+    hint = F.broadcast if needed.count() <= broadcast_rows else (lambda df: df)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.join(hint(needed), texts["id"].eqNullSafe(needed["rep"]), "left_semi")
 
     def shingled(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [s for s in map(metric.shingles, batch.column(1).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "s"])
 
-    sets = written(texts.mapInArrow(shingled, "c long, s binary").dropDuplicates(["c"]), "sets")
+    return written(texts.mapInArrow(shingled, "c long, s binary").dropDuplicates(["c"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, metric: Metric) -> DataFrame:
+    """Of pairs (a, b) of classes those that are similar."""
     full = pairs.join(sets.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
 
     def compared(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for left, right in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
                 a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
@@ -245,51 +298,72 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, metric: Metr
     return written(full.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long"), "links")
 
 
-def similarity_links(docs: DataFrame, sets: DataFrame, metric: Metric, id_col: str, text_col: str, region_rows: int, broadcast_rows: int) -> DataFrame:
+def similarity_links(docs: DataFrame, sets: DataFrame, metric: Metric, id_col: str, text_col: str, region_rows: int, region_shingles: int, broadcast_rows: int) -> DataFrame:
     """Links (a, b) of classes that give the same components as all similar pairs."""
+    fetch = functools.partial(shingle_sets, docs=docs, metric=metric, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows)
     known = sets.filter(F.col("c").isNotNull())
-    classes = written(known.groupBy("c").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("rep")), "classes")
+    classes = written(known.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep")), "classes")
     stars = written(pivots(known.select("keys", "c")), "stars")
-    side = classes.select("c", "n", "counts")
-    regions = written(stars.join(side.withColumnRenamed("c", "x"), "x").join(side.withColumnsRenamed({"c": "p", "n": "pn", "counts": "pcounts"}), "p"), "regions")
-    first = verified(near_pivot(regions, metric), docs, classes, metric, id_col, text_col, broadcast_rows)
+    side = classes.select("c", "n", "sketch")
+    regions = written(stars.join(side.withColumnRenamed("c", "x"), "x").join(side.withColumnsRenamed({"c": "p", "n": "pn", "sketch": "psketch"}), "p"), "regions")
+    pairs = written(near_pivot(regions, metric), "pairs")
+    first = verified(pairs, fetch(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), classes=classes), metric)
 
     flagged = regions.join(first.select(F.col("a").alias("p"), F.col("b").alias("x"), F.lit(False).alias("_far")), ["p", "x"], "left").withColumn("far", F.coalesce("_far", F.lit(True)))
-    sizes = flagged.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("_any")).filter("_any and m > 1").select("p", F.ceil(F.col("m") / region_rows).cast("int").alias("blocks"))
-    active = flagged.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    active = active.select("p", "x", "n", "counts", "pcounts", "far", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
-    more = active.groupBy("p", "i", "j").applyInPandas(within_region(metric), "a long, b long").distinct()
-    second = verified(more, docs, classes, metric, id_col, text_col, broadcast_rows)
+    sizes = flagged.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("_n"), F.max("far").alias("_any")).filter("_any and m > 1")
+    sizes = sizes.select("p", F.greatest(F.ceil(F.col("m") / region_rows), F.ceil(F.col("_n") / region_shingles)).cast("int").alias("blocks"))
+
+    def in_blocks(rows: DataFrame, *more: str) -> DataFrame:
+        """A row for each block pair that the member's block is in."""
+        dealt = rows.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.select("p", "x", "n", "sketch", "psketch", "far", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), *more)
+
+    still = written(in_blocks(flagged).groupBy("p", "i", "j").applyInPandas(open_members(metric), "p long, x long").distinct(), "open")
+    left = fetch(still.select(F.col("x").alias("c")), classes=classes)
+    full = in_blocks(flagged.join(still, ["p", "x"]).join(left.withColumnRenamed("c", "x"), "x"), "s")
+    second = written(full.groupBy("p", "i", "j").applyInPandas(region_links(metric), "a long, b long").distinct(), "region-links")
     return first.unionByName(second)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                       region_rows: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links of similarity >= num/den), class_id."""
+                       region_rows: int = 4096, region_shingles: int = 4_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links of similarity >= num/den),
+    class_id, text_hash, and stays (true for the rows with the least id and hash of their components)."""
     spark = docs.sparkSession
     ship(spark)
     metric = Metric(num, den, width)
     sets = written(doc_sets(docs, metric, id_col, text_col), "doc-sets")
-    links = similarity_links(docs, sets, metric, id_col, text_col, region_rows, broadcast_rows)
+    links = similarity_links(docs, sets, metric, id_col, text_col, region_rows, region_shingles, broadcast_rows)
     roots = components(links)
-    rows = sets.select("id", "n", "c")
-    with_words = written(rows.filter(F.col("c").isNotNull()).join(roots, F.col("c") == F.col("node"), "left").select("id", "n", "c", F.coalesce("root", "c").alias("root")), "rooted")
-    groups = with_words.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("_size"))
-    named = join_hot(with_words, groups, "root", "_size", with_words.count())
-    alone = rows.filter(F.col("c").isNull())
-    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id")).unionByName(
-        alone.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("c").alias("class_id")))
-
-
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that name their components: one row of each."""
-    found = written(found.select("doc_id", "component_id"), "found")
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    if found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    rows = sets.select("id", "n", "c", "th")
+    with_words = written(rows.filter(F.col("c").isNotNull()).join(roots, F.col("c") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "c").alias("root")), "rooted")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    groups = with_words.groupBy("root").agg(F.min("id").alias("component_id"), first.alias("_first"), F.count(F.lit(1)).alias("_size"))
+    stays = F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("th") == F.col("_first.th"))
+    named = join_hot(with_words, groups, "root", "_size", with_words.count()).withColumn("stays", stays)
+    alone = rows.filter(F.col("c").isNull()).withColumn("component_id", F.col("id")).withColumn("stays", F.lit(True))
+    out = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"), F.col("th").alias("text_hash"), "stays"]
+    return named.select(*out).unionByName(alone.select(*out))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all without words. ``found``: of :func:`jaccard_components`."""
+    found = written(found.select("doc_id", "text_hash", "class_id", "stays"), "found")
+    gone = written(found.filter(~F.col("stays")).select("doc_id", "text_hash").distinct(), "gone")
+    twice = written(found.filter(F.col("stays") & F.col("class_id").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "twice")
+
+    def of(rows: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(rows["doc_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(rows["text_hash"])
+
+    def hinted(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id"), F.col("text_hash"))
+        return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+
+    if twice.isEmpty():
+        rows = hinted(gone)
+        return docs.join(rows, of(rows), "left_anti")
+    rows, pairs = hinted(gone.unionByName(twice)), hinted(twice)
+    return docs.join(rows, of(rows), "left_anti").unionByName(docs.join(pairs, of(pairs), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
