@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..shipping import ship
+from .arrow_types import readable_batch, readable_schema
 
 _BATCHES = 16
 
@@ -60,7 +61,7 @@ class _Reader(DataSourceReader):
             source.seek(0)
             data = ipc.open_file(source, options=ipc.IpcReadOptions(included_fields=fields))
             for i in range(partition.first, partition.last):
-                yield data.get_batch(i).select(self.columns)
+                yield readable_batch(data.get_batch(i).select(self.columns))
 
 
 class ArrowFile(DataSource):
@@ -74,7 +75,7 @@ class ArrowFile(DataSource):
         with _open(_files(self.options["path"])[0]) as source:
             whole = ipc.open_file(source).schema
         wanted = [c for c in self.options.get("columns", "").split(",") if c] or whole.names
-        return pa.schema([whole.field(c) for c in wanted])
+        return readable_schema(pa.schema([whole.field(c) for c in wanted]))
 
     def schema(self):
         return from_arrow_schema(self._arrow_schema())
