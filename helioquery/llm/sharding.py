@@ -150,4 +150,35 @@ def op2_sharding(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-ORACLE: dict[str, str] = {}
+def _oracle(shards: int, seed: int) -> str:
+    """The same in SQL: CRC-32 by its table, the rounds as nested selects, walks as recursion."""
+    rounds = "SELECT row_number, p // b AS l, p % b AS r FROM {} , k"
+    for i, (m, c) in enumerate(round_keys(seed)):
+        x, own, size = ("l", "r", "b") if i % 2 else ("r", "l", "a")
+        x = f"({x} % {_PRIME})"
+        moved = f"({own} + ((({x} * {x} + {c}) % {_PRIME}) * {m} + {x}) % {_PRIME}) % {size} AS {own}"
+        rounds = f"SELECT row_number, {'l, ' + moved if i % 2 else moved + ', r'} FROM ({rounds}), k"
+    rounds = f"SELECT row_number, l * b + r AS p FROM ({rounds}), k"
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]),
+         lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+         list_transform(range(len(h) // 2), lambda i: CAST(strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 17 AS BIGINT))),
+         lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS text_crc32 FROM d, tab),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM e),
+k AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents)),
+w AS (
+  {rounds.format("(SELECT row_number, row_number AS p FROM n)")}
+  UNION ALL
+  {rounds.format("(SELECT row_number, p FROM w, k WHERE p >= n)")})
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p % {shards} AS INTEGER) AS shard, p // {shards} AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard, n.row_number
+FROM n JOIN w USING (row_number), k WHERE p < k.n
+"""
+
+
+ORACLE = {"op2_sharding": _oracle(16, 20)}
