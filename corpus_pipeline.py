@@ -8,6 +8,8 @@ and empty tables are handled as the operators' docstrings say; an empty table pa
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,22 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARDS, ["doc_id", "source", "n_chars"], seed=20)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("source_mix", source_mix),
-    ("shards", shards),
-]
+_before: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes the tables that the stage before it wrote on its way; its result has been written."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, _before)
+        with common.recorded(_before):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _stage(f)) for f in (language_id, near_duplicates, decontamination, source_mix, shards)]
 
 #: The model of the first stage is not SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
@@ -67,7 +78,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        now: list[str] = []
+        with common.recorded(now):
+            docs = common.written(made, f"stage-{name}")
+        common.release(spark, last)
+        last = now
+    common.release(spark, _before)
     return docs
