@@ -89,17 +89,15 @@ def test_machine_learns_a_pair_that_weights_cannot():
     m = X.train(found, np.array(y), floor=10)
     s = m.score([X.terms(t) for t in ("a vile day", "good folk here", "vile folk here", "nothing", "")])
     assert s[2] > 0.9 and max(s[0], s[1], s[3], s[4]) < 0.2
-    place = m.place[np.concatenate((X.terms("vile"), X.terms("folk")))]
+    place = m.inputs(np.concatenate((X.terms("vile"), X.terms("folk"))))
     assert m.factors[place[0]] @ m.factors[place[1]] > 0.5
 
 
 def test_score_is_the_naive_sum_over_pairs():
     rng = np.random.default_rng(0)
-    place = np.full(X.BUCKETS, -1, np.int32)
     at = X.terms("one two three four")
-    place[at] = np.arange(len(at))
-    m = X.Model(place, -0.3, rng.normal(size=len(at)), rng.normal(size=(len(at), 3)))
-    k = place[X.terms("one three four")]
+    m = X.Model(at, -0.3, rng.normal(size=len(at)), rng.normal(size=(len(at), 3)))
+    k = m.inputs(X.terms("one three four"))
     z = -0.3 + m.weights[k].sum() + sum(m.factors[i] @ m.factors[j] for a, i in enumerate(k) for j in k[:a])
     assert m.score([X.terms("one three four, one unknown")])[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
