@@ -37,6 +37,7 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ from .common import FOLD, join_hot, mix, partitions, shingle_hashes, ship, slice
 from .components import components
 
 _RING = 1.5
+_SEEN = 200_000
 _SEEDS = np.uint64(0xA0761D6478BD642F)
 
 
@@ -124,16 +126,24 @@ def class_of(s: np.ndarray) -> int:
 
 
 def doc_sets(docs: DataFrame, metric: Metric, id_col: str, text_col: str) -> DataFrame:
-    """id, th (hash of the text), n (shingles), c (class; null without words), keys and sketch of every row."""
+    """id, th (hash of the text), n (shingles), c (class; null without words), keys and sketch of every row.
+
+    A task gives the keys of a class once (again where it has met too many classes since), so copies are few before the shuffle."""
 
     def made(batches):
+        seen: set[int] = set()
         for batch in slices(batches, 512):
             n, c, keys, sketch = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = metric.shingles(text)
                 n.append(len(s))
                 c.append(class_of(s) if len(s) else None)
-                keys.append(metric.keys(s).astype(np.int64))
+                again = not len(s) or c[-1] in seen
+                keys.append(np.zeros(0, np.int64) if again else metric.keys(s).astype(np.int64))
+                if not again:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(c[-1])
                 sketch.append(metric.sketch(s))
             lengths = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
@@ -143,26 +153,60 @@ def doc_sets(docs: DataFrame, metric: Metric, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), text_col).mapInArrow(made, "id long, th long, n long, c long, keys array<long>, sketch binary")
 
 
-def pivots(sets: DataFrame) -> DataFrame:
-    """Distinct (p, x): x shares a cell with its least class p. Cells are read in order, a row at a time."""
-    cells = sets.select(F.explode("keys").alias("key"), "c").repartition(partitions(sets.sparkSession), "key").sortWithinPartitions("key", "c")
+_CELLS = pa.schema([(k, pa.int64()) for k in ("kind", "key", "a", "b", "last_key", "last_pivot")])
+_PAIR, _FIRST_RUN, _SUMMARY = 0, 1, 2
+
+
+def _cells(batches):
+    """Read cells in the order of (key, c), a batch at a time, and pair each member with the first of its cell.
+
+    The partition's first cell may have begun in the one before, so its members are listed by key; a summary tells its
+    first key and member and its last key and pivot."""
+
+    def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind) if f.name == "kind" else columns.get(f.name, np.zeros(n, np.int64)), pa.int64()) for f in _CELLS], schema=_CELLS)
+
+    key = pivot = first_key = first = None
+    for batch in batches:
+        k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(k):
+            continue
+        if first_key is None:
+            first_key, first = k[0], c[0]
+        start = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+        at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
+        own = np.where(at >= 0, c[np.maximum(at, 0)], pivot if pivot is not None else 0)
+        key, pivot = k[-1], own[-1]
+        leading = k == first_key
+        if leading.any():
+            members = np.unique(c[leading])
+            yield rows(_FIRST_RUN, key=np.full(len(members), first_key), b=members)
+        other = ~leading & (own != c)
+        if other.any():
+            p, x = np.unique(np.stack((own[other], c[other])), axis=1)
+            yield rows(_PAIR, a=p, b=x)
+    if first_key is not None:
+        one = lambda v: np.array([v], np.int64)
+        yield rows(_SUMMARY, key=one(first_key), a=one(TaskContext.get().partitionId()), b=one(first), last_key=one(key), last_pivot=one(pivot))
 
-    def starred(batches):
-        key, p = None, None
-        for batch in batches:
-            k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            fresh = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
-            pivot = np.where(at >= 0, c[np.maximum(at, 0)], p if p is not None else 0)
-            key, p = k[-1], pivot[-1]
-            other = pivot != c
-            if other.any():
-                pairs = np.unique(np.stack((pivot[other], c[other])), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["p", "x"])
-
-    return cells.mapInArrow(starred, "p long, x long").distinct()
+
+def pivots(sets: DataFrame) -> DataFrame:
+    """Distinct (p, x): x shares a cell with its least class p.
+
+    Cells are dealt by ranges of (key, class), so a cell with many members lies in several partitions; the pivot of a
+    partition's first cell comes from the summaries of those before it."""
+    spark = sets.sparkSession
+    dealt = sets.select(F.explode("keys").alias("key"), "c").repartitionByRange(partitions(spark), "key", "c").sortWithinPartitions("key", "c")
+    found = written(dealt.mapInArrow(_cells, ", ".join(f"{n} long" for n in _CELLS.names)), "cells")
+    pivot_of: dict[int, int] = {}
+    last_key = last_pivot = None
+    for r in found.filter(F.col("kind") == _SUMMARY).orderBy("a").collect():  # one row a partition
+        pivot_of[r["key"]] = first = last_pivot if r["key"] == last_key else r["b"]
+        last_key, last_pivot = r["last_key"], first if r["last_key"] == r["key"] else r["last_pivot"]
+    known = F.broadcast(spark.createDataFrame(list(pivot_of.items()), "key long, p long"))  # as many rows as partitions
+    begun = found.filter(F.col("kind") == _FIRST_RUN).join(known, "key").select("p", F.col("b").alias("x")).filter("p <> x")
+    return found.filter(F.col("kind") == _PAIR).select(F.col("a").alias("p"), F.col("b").alias("x")).unionByName(begun).distinct()
 
 
 def _folded(sketches: list[bytes]) -> np.ndarray:

@@ -127,3 +127,22 @@ def test_keep_one(spark, broadcast_rows):
 
 def test_empty(spark):
     assert J.jaccard_components(nothing(spark)).count() == 0
+
+
+def test_pivots_of_cells_that_span_partitions(spark):
+    """A cell that every class is in, and small ones, dealt over many partitions."""
+    rng = random.Random(6)
+    members = [(rng.sample(range(50), 3) + [99], i - 300) for i in range(600)] + [([99], 5)] * 40
+    sets = spark.createDataFrame(members, "keys array<long>, c long")
+    want = set()
+    for key in [*range(50), 99]:
+        cell = {c for keys, c in members if key in keys}
+        want |= {(min(cell), c) for c in cell if c != min(cell)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {tuple(r) for r in J.pivots(sets).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert J.pivots(sets.limit(0)).count() == 0
