@@ -100,7 +100,7 @@ def train(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.1,
     return Model(languages, code, w, b, trust / trust.mean())
 
 
-def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 6000) -> Model | None:
+def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 4000) -> Model | None:
     """A model from labelled rows; None where no row has a language and a letter."""
     ship(rows.sparkSession)
     rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -116,8 +116,12 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_
     table = rows.select(lang_col, text_col).mapInArrow(featured, "lang string, x binary").limit(2 * sample_rows).toArrow()
     if not table.num_rows:
         return None
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    return train(x, table["lang"].to_pylist())
+    x = np.empty((table.num_rows, DIMENSIONS), np.float32)
+    for i, row in enumerate(table["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    labels = table["lang"].to_pylist()
+    del table
+    return train(x, labels)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
