@@ -45,9 +45,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents, so that sources meet their targets; of a document that is cut the nearer whole number counts."""
     sized = docs.select("doc_id", "source", mixing.words_size().alias("size"))
     counts = mixing.mixed_counts(sized).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = counts.select(F.col("doc_id").alias("_id"), F.round(F.try_divide("_taken", "_size")).cast("int").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return _columns(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs)
+    copies = counts.select(F.col("doc_id").alias("_hq_id"), F.round(F.try_divide("_taken", "_size")).cast("int").alias("_hq_copies")).filter("_hq_copies > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_hq_id"]))
+    return _columns(taken.withColumn("_hq_copy", F.explode(F.sequence(F.lit(1), F.col("_hq_copies")))), docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
