@@ -13,7 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship  # noqa: F401  (for the operators)
+from ..shipping import ship as _ship
+
+_BATCH, _BATCH_DEFAULT, _BATCH_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers, and let texts reach them in batches of 8 MB unless the session says otherwise."""
+    _ship(spark)
+    if spark.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH, str(_BATCH_OWN))
+
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -105,6 +115,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # workers live on after their tasks
 
 
 # -- hashing of words in numpy ---------------------------------------------------------------------

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, ship
+from .common import FOLD_WORDS, ship, slices
 
 _RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _ARROW = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -140,9 +140,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
     def scanned(batches):
         matchers = _Matchers(shipped, width)
-        for batch in batches:
+        # of several blocks each one's automaton is built once a batch
+        for batch in slices(batches) if len(shipped) == 1 else batches:
             texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
-            if len(shipped) > 1:  # each block's automaton is built once a batch
+            if len(shipped) > 1:
                 rows = _by_block(texts, matchers)
             else:
                 rows = [scan(t, matchers) for t in texts]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, mix, ship, word_hashes
+from .common import FOLD_WORDS, mix, ship, slices, word_hashes
 from .sharding import with_row_numbers
 
 BUCKETS = 10_000
@@ -36,7 +36,7 @@ def count_grams(docs: DataFrame, text_col: str, flag_col: str) -> np.ndarray:
 
     def counted(batches):
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = np.bincount(grams(text), minlength=BUCKETS)
                 total[0] += seen
@@ -76,7 +76,7 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def weighed(batches):
         ratio = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             weights = []
             for text in batch.column(place).to_pylist():
                 g = grams(text)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, crc32_of_id, ship
+from .common import FOLD_WORDS, crc32_of_id, ship, slices
 
 DIMENSIONS = 4096
 _LETTERS_ONLY = bytes(32 if 48 <= b <= 57 else b for b in FOLD_WORDS)
@@ -103,13 +103,14 @@ def train(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.1,
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 4000) -> Model | None:
     """A model from labelled rows; None where no row has a language and a letter."""
     ship(rows.sparkSession)
-    rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
+    rows = rows.filter(F.col(lang_col).isNotNull())
+    n = rows.count()  # reads no text
+    rows = rows.filter(F.col(text_col).isNotNull())
     if n > sample_rows:
         rows = rows.filter(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
 
     def featured(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in kept], pa.string()), "x": pa.array([x for _, x in kept], pa.binary())})
 
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def predicted(batches):
         model = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             langs, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)

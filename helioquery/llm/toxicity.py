@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, crc32_of_id, ship, word_hashes
+from .common import FOLD_WORDS, crc32_of_id, ship, slices, word_hashes
 
 BUCKETS = 1 << 31  # so many that a long text's rare words don't fall on a chosen term by chance
 
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.limit(2 * sample_rows)  # the bound of what is broadcast; the hash gives half of that
 
     def termed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
 
     table = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select("_y", text_col).mapInArrow(termed, "y int, x binary").toArrow()
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
     def scored(batches):
         model = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             scores = np.zeros(len(texts)) if model is None else model.score([terms(t) for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
