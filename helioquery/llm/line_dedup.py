@@ -5,8 +5,12 @@ alone don't count. A window that occurs again anywhere keeps its first occurrenc
 that later occurrences cover, merged, are removed from their documents. Windows travel as two 64-bit hashes, an id and a
 line number; occurrences are counted before the shuffle, and only repeated windows are joined back.
 
-Null texts stay null; documents of fewer lines than the window stay whole; null ids come last; rows that have the first
-occurrence's id and line keep it together (repeated rows). An empty table gives an empty result; further columns stay.
+With ``short`` a document of fewer lines than the window, if not blank, is one window of all its lines, which equals that of
+another such document of the same lines. Without it, as in the SQL of the query, such documents have no window and stay whole,
+even as copies of one another.
+
+Null texts stay null; null ids come last; rows that have the first occurrence's id and line keep it together (repeated
+rows). An empty table gives an empty result; further columns stay.
 """
 
 from __future__ import annotations
@@ -23,35 +27,39 @@ def _lines(text_col: str) -> Column:
     return F.split(F.col(text_col), "\n", -1)
 
 
-def windows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text hash, line number and window hash of every window."""
+def windows(docs: DataFrame, width: int, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """id, text hash, line number and window hash of every window; with ``short`` also the number of its last line."""
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), _lines(text_col).alias("_l"))
-    rows = rows.filter(F.size("_l") >= width).select("id", "th", F.transform("_l", lambda x: F.trim(F.translate(x, "\t\r", "  "))).alias("_l"))
+    rows = rows.filter(F.size("_l") >= (1 if short else width)).select("id", "th", F.transform("_l", lambda x: F.trim(F.translate(x, "\t\r", "  "))).alias("_l"))
 
     def at(i: Column) -> Column:
-        part = [F.get(F.col("_l"), i + k) for k in range(width)]
-        filled = F.length(F.concat(*part)) > 0
+        part = [F.get(F.col("_l"), i + k) for k in range(width)]  # lines that a short document lacks are null, and add nothing to a hash
+        filled = F.length(F.concat_ws("", *part)) > 0
         return F.when(filled, F.struct(F.xxhash64(*part).alias("a"), F.xxhash64(F.lit(1), *reversed(part)).alias("b")))
 
-    every = rows.select("id", "th", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_l") - width), at)).alias("line", "w"))
-    return every.filter(F.col("w").isNotNull()).select("id", "th", F.col("line").cast("long").alias("line"), "w.a", "w.b")
+    n = F.size("_l")
+    every = rows.select("id", "th", n.alias("_n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), at)).alias("line", "w"))
+    last = [(F.least(F.col("line") + width, "_n") - 1).cast("long").alias("last")] if short else []
+    return every.filter(F.col("w").isNotNull()).select("id", "th", F.col("line").cast("long").alias("line"), *last, "w.a", "w.b")
 
 
-def covered_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """id, text hash and the sorted numbers of lines to remove, of the documents that lose any."""
-    found = windows(docs, width, id_col, text_col)
+    found = windows(docs, width, id_col, text_col, short)
     # A count in each task first, so a window that every document holds is one row a task here.
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first")).filter("n > 1")
     again = found.join(written(repeated.drop("n"), "windows"), ["a", "b"]).filter(F.struct("id", "line") != F.col("first"))
-    lines = again.select("id", "th", F.explode(F.sequence(F.col("line"), F.col("line") + (width - 1))).alias("line"))
+    last = F.col("last") if short else F.col("line") + (width - 1)
+    lines = again.select("id", "th", F.explode(F.sequence(F.col("line"), last)).alias("line"))
     return written(lines.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), "covered")
 
 
-def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = 4_000_000) -> DataFrame:
+def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = 4_000_000,
+               short: bool = False) -> DataFrame:
     """``docs`` with its columns, the text without the removed lines, n_lines (before) and n_removed.
 
     Up to ``broadcast_lines`` numbers of lines (8 bytes each) are broadcast, so texts stay where they are; more are joined by a shuffle."""
-    cover = covered_lines(docs, width, id_col, text_col).withColumnsRenamed({"id": "_id", "th": "_th", "removed": "_removed"})
+    cover = covered_lines(docs, width, id_col, text_col, short).withColumnsRenamed({"id": "_id", "th": "_th", "removed": "_removed"})
     docs = docs.drop("n_lines", "n_removed", "_id", "_th", "_removed")
     held = cover.agg(F.coalesce(F.sum(F.size("_removed") + 8), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(cover) if held <= broadcast_lines else cover, (F.coalesce(F.col(id_col), F.lit(_LAST)) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")

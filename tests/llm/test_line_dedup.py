@@ -55,3 +55,17 @@ def test_overlapping_windows_merge_within_a_document(spark):
 def test_hard_rows_and_none(spark):
     assert D.line_dedup(hard(spark)).count() == len(hard_rows())
     assert D.line_dedup(nothing(spark)).count() == 0
+
+
+def test_short_documents_are_one_window(spark):
+    rows = [(1, "a\nb"), (2, " a\nb\t"), (3, "b\na"), (4, "one"), (5, "one"), (6, ""), (7, " \n"), (8, "\n "), (9, "x\na\nb\ny"), (10, "one\n"), (11, None), (12, "x\na\nb\nz"), (None, "one"), (13, "p\n\n"), (14, "p\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {2: 2, 5: 1, 12: 3, None: 1}
+    for lines in (4_000_000, 0):
+        got = {r["doc_id"]: r for r in D.line_dedup(docs, broadcast_lines=lines, short=True).collect()}
+        assert {i: r["n_removed"] for i, r in got.items() if r["n_removed"]} == removed
+        assert {i: r["text"] for i, r in got.items()} == dict(rows) | {2: "", 5: "", None: "", 12: "z"}
+    # longer documents lose the same lines with and without
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    pick = lambda df: sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in df.filter("n_lines >= 3").collect()), key=repr)
+    assert pick(D.line_dedup(docs, short=True)) == pick(D.line_dedup(docs))
