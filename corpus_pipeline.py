@@ -23,10 +23,10 @@ def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: null texts and texts without letters."""
+    """Drops what has no language: null texts and texts without letters. Of texts with a letter the model rejects none."""
     model = langid.fit(docs)
-    if model is None:  # no row to learn from, so nothing to reject by
-        return docs
+    if model is None:  # no row to learn from; all would be und
+        return langid.lettered(docs)
     return _columns(langid.identify(docs, model).filter("lang_pred <> 'und'"), docs)
 
 

@@ -151,6 +151,18 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return docs.mapInArrow(predicted, schema)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter: those that are not ``und`` with a model."""
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def kept(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc32_of_id(id_col) % 4 == 2, F.lit(False))
 

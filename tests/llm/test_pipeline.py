@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 from cases import hard, hard_rows, nothing
+from pyspark.sql import functions as F
 from test_decontam import brute as hits
 from test_jaccard import brute as groups
 
@@ -59,6 +60,13 @@ def test_stages_on_hard_rows_and_none(spark, data):
             docs = spark.createDataFrame(rows, out.schema)
 
 
+def test_no_text_without_a_letter_stays_where_no_row_has_a_language(spark, data):
+    docs = hard(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = dict(P.STAGES)["language_id"](spark, docs, data)
+    assert got.columns == docs.columns
+    assert Counter(r["text"] for r in got.collect()) == Counter(r[1] for r in hard_rows() if r[1] is not None and any(map(str.isalpha, r[1])))
+
+
 def test_registered():
     import __spark_entry__ as e
 
