@@ -10,7 +10,8 @@ The benchmark is read in blocks of at most ``block_bytes`` of text (or one longe
 block and one automaton, which a worker keeps; of more blocks a worker holds one at a time and builds its automaton
 once for each batch of documents.
 
-Null and empty texts have no words and no hits; repeated rows are scanned each for itself; an empty benchmark gives no
+Items with a null id count for n_hit and spans like others; in ``items`` all of them are one null, sorted last, which counts as
+one item (as in the SQL, whose joined names leave it out). Null and empty texts have no words and no hits; repeated rows are scanned each for itself; an empty benchmark gives no
 hits; documents need an id and a text, further columns are ignored.
 """
 
@@ -48,9 +49,9 @@ def _letter(i: int) -> str:
 class Matcher:
     """The automaton of one block: words are its letters, windows its keys, values (words, items)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.letters: dict[bytes, str] = {}
-        found: dict[str, tuple[int, list[str]]] = {}
+        found: dict[str, tuple[int, list[str | None]]] = {}
         for item, text in items:
             words = "".join(self.letters.setdefault(w, _letter(len(self.letters))) for w in words_of(text))
             n = min(width, len(words))
@@ -61,7 +62,7 @@ class Matcher:
             self.automaton.add_word(key, value)
         self.automaton.make_automaton()
 
-    def hits(self, words: list[bytes]) -> list[tuple[int, tuple[int, list[str]]]]:
+    def hits(self, words: list[bytes]) -> list[tuple[int, tuple[int, list[str | None]]]]:
         """(number of the last word, (words, items)) of every occurrence."""
         if not len(self.automaton):
             return []
@@ -69,7 +70,7 @@ class Matcher:
         return list(self.automaton.iter("".join([get(w, "\0") for w in words])))
 
 
-def scan(text: bytes, matchers: Iterable[Matcher]) -> tuple[int, int, list[str], list[dict]]:
+def scan(text: bytes, matchers: Iterable[Matcher]) -> tuple[int, int, list[str | None], list[dict]]:
     """n_words, n_hit, items and the hit spans (character offsets into the original text)."""
     words = text.translate(FOLD_WORDS).split()
     found = [h for m in matchers for h in m.hits(words)] if words else []
@@ -80,7 +81,7 @@ def scan(text: bytes, matchers: Iterable[Matcher]) -> tuple[int, int, list[str],
     np.add.at(cover, ends - counts + 1, 1)
     np.add.at(cover, ends + 1, -1)
     hit = np.cumsum(cover[:-1]) > 0
-    items = sorted({i for v in {id(v): v for _, v in found}.values() for i in v[1]})
+    items = sorted({i for v in {id(v): v for _, v in found}.values() for i in v[1]}, key=lambda i: (i is None, i or ""))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     bounds = [x for s, e in zip(edges[::2], edges[1::2], strict=True) for x in (at[s][0], at[e - 1][1])]
@@ -89,9 +90,9 @@ def scan(text: bytes, matchers: Iterable[Matcher]) -> tuple[int, int, list[str],
     return len(words), int(hit.sum()), items, spans
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     block, held = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull() & F.col(item_col).isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull())
     for item, text in rows.toLocalIterator():
         if block and held + len(text) > block_bytes:
             yield block
@@ -121,7 +122,7 @@ class _Matchers:
 _last: list = [None, None]
 
 
-def _kept(block: list[tuple[str, str | None]], width: int) -> Matcher:
+def _kept(block: list[tuple[str | None, str | None]], width: int) -> Matcher:
     name = hashlib.sha1(repr((block, width)).encode()).hexdigest()
     if _last[0] != name:
         _last[:] = [name, Matcher(block, width)]
@@ -130,7 +131,7 @@ def _kept(block: list[tuple[str, str | None]], width: int) -> Matcher:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
-    """``docs`` with its columns and n_words, n_hit, items (sorted) and spans of hit text."""
+    """``docs`` with its columns and n_words, n_hit, items (sorted, null last) and spans of hit text."""
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shipped = [sc.broadcast(b) for b in _blocks(benchmark, item_id_col, item_text_col, block_bytes)]

@@ -3,6 +3,7 @@ import random
 import re
 
 from cases import SCHEMA, hard, hard_rows, nothing, row, words
+from compare import same
 
 from helioquery.llm import decontam as D
 
@@ -71,3 +72,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(nothing(spark), none).count() == 0
     assert D.decontaminate(hard(spark), none).filter("n_hit > 0").count() == 0
+
+
+def test_items_without_an_id_count_as_one(spark, duck, tmp_path):
+    bench = [(None, "red green blue"), (None, "sun moon"), (7, "red green blue"), (None, None), (10, "moon star")]
+    docs = [(1, "a red GREEN blue b"), (2, "sun moon"), (3, "moon star, sun moon red green blue"), (4, "nothing"), (None, "sun moon")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    for block in (1 << 20, 5):
+        got = D.decontaminate(read("documents"), read("benchmark"), block_bytes=block).collect()
+        assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in got} == {1: (3, ["7", None]), 2: (2, [None]), 3: (7, ["10", "7", None]), 4: (0, []), None: (2, [None])}
+    con = duck.cursor()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet' WHERE {'doc_id IS NOT NULL' if name == 'documents' else 'true'}")
+    same(D.op5_decontamination(spark, str(tmp_path)).filter("doc_id is not null"), con, D.ORACLE["op5_decontamination"])
