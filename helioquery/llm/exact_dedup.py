@@ -3,8 +3,8 @@
 History is cut into shards by digest, each of some ``shard_keys`` distinct digests. A shard holds a minimal perfect
 hash (levels of bit arrays; a key rests in the first level where no other key shares its position, and its slot is the
 rank of that bit) and, per slot, the full SHA-256 digest, the winner's id and the number of rows. A new digest is
-looked up by hash, then compared byte by byte with the digest in its slot: members are repeats of history, nonmembers
-group among themselves. Only digests and ids are shuffled, and rows are counted per digest before that, so a text that
+looked up by hash, then compared byte by byte with the digest in its slot: members are repeats of history, whose counts are
+added to their slot's; nonmembers group among themselves. Only digests and ids are shuffled, and rows are counted per digest before that, so a text that
 a third of all rows hold is one row by then.
 
 Null texts count as empty; null ids are ordinary rows that win only where a group has no other id; an empty table
@@ -90,21 +90,24 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = new[["digest", "winner", "n"]].assign(known=False)
-    if not len(new) or not len(index):
+def _merge(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    """A shard's slots with members' counts added, then the nonmembers as they are."""
+    out = new[["digest", "winner", "n"]]
+    if not len(index):
         return out
     row = index.iloc[0]
-    sizes = [int(x) for x in row["levels"]]
-    bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(bool)
     held = np.frombuffer(row["digests"], np.uint64).reshape(-1, 4)
-    keys = _words(new["digest"])
-    slots = mph_slots(keys, sizes, bits)
-    known = (slots >= 0) & (held[np.maximum(slots, 0)] == keys).all(axis=1)
-    winners = np.frombuffer(row["winners"], np.int64)
-    out["known"] = known
-    out.loc[known, "winner"] = winners[slots[known]]
-    return out
+    counts = np.frombuffer(row["counts"], np.int64).copy()
+    if len(new):
+        sizes = [int(x) for x in row["levels"]]
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(sizes)).astype(bool)
+        keys = _words(new["digest"])
+        slots = mph_slots(keys, sizes, bits)
+        known = (slots >= 0) & (held[np.maximum(slots, 0)] == keys).all(axis=1)
+        np.add.at(counts, slots[known], new["n"].to_numpy(np.int64)[known])
+        out = out[~known]
+    slot = pd.DataFrame({"digest": [k.tobytes() for k in held], "winner": np.frombuffer(row["winners"], np.int64), "n": counts})
+    return pd.concat([slot, out], ignore_index=True) if len(out) else slot
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -119,11 +122,11 @@ def build_index(history: DataFrame, shard_keys: int = 100_000) -> tuple[DataFram
     return written(_sharded(history, shards).groupBy("shard").applyInPandas(_build, _INDEX), "mph"), shards
 
 
-def lookup(new: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """digest, winner, n, known: of members the winner is history's; ``new`` has one row per digest."""
+def merged(new: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """digest, winner, n of history's slots and of nonmembers; members' counts are in their slots. ``new`` has one row per digest."""
     return (
         _sharded(new, shards).groupBy("shard").cogroup(index.groupBy("shard"))
-        .applyInPandas(_lookup, "digest binary, winner long, n long, known boolean")
+        .applyInPandas(_merge, "digest binary, winner long, n long")
     )
 
 
@@ -144,10 +147,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     history = written(grouped(rows.filter(old)), "history")
     index, shards = build_index(history, shard_keys)
-    arrived = lookup(grouped(rows.filter(~F.coalesce(old, F.lit(False)))), index, shards).drop("known")
-    groups = written(
-        history.unionByName(arrived).groupBy("digest").agg(F.min("winner").alias("winner"), F.sum("n").alias("n")), "groups"
-    )
+    # A member the index did not find would be a second group of its digest: nothing groups by digest again.
+    groups = written(merged(grouped(rows.filter(~F.coalesce(old, F.lit(False)))), index, shards), "groups")
     out = join_hot(rows, groups, "digest", "n", total)
     keep = F.when(F.col("winner") != _NO_ID, F.col("winner"))
     return out.select(

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 from cases import hard, hard_rows, nothing
 
 from helioquery.llm import exact_dedup as D
@@ -40,3 +41,23 @@ def test_one_huge_group_and_none(spark):
     got = D.exact_dedup(df).filter("group_size > 1").collect()
     assert len(got) == 1667 and {r["keep_id"] for r in got} == {0}
     assert D.exact_dedup(nothing(spark)).count() == 0
+
+
+def test_members_are_counted_in_their_slots():
+    key = lambda i: hashlib.sha256(bytes([i])).digest()
+    index = D._build(pd.DataFrame({"shard": 0, "digest": [key(i) for i in range(50)], "winner": range(100, 150), "n": 2}))
+    new = pd.DataFrame({"shard": 0, "digest": [key(i) for i in range(40, 60)], "winner": range(1000, 1020), "n": 3})
+    for arrived in (new, new[:0]):
+        seen = set(arrived["digest"])
+        got = sorted(map(tuple, D._merge(arrived, index)[["digest", "winner", "n"]].to_numpy()))
+        assert got == sorted([(key(i), 100 + i, 5 if key(i) in seen else 2) for i in range(50)] + [(key(i), 960 + i, 3) for i in range(50, 60) if key(i) in seen])
+    assert len(D._merge(new, index[:0])) == len(new)
+
+
+def test_groups_come_from_the_index(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id as doc_id", "concat('t', id % 20) as text")
+    pick = lambda: sorted(map(tuple, D.exact_dedup(df).select("doc_id", "keep_id", "group_size").collect()))
+    assert pick() == [(i, i % 20, 2) for i in range(40)]
+    build = D.build_index
+    monkeypatch.setattr(D, "build_index", lambda history, *a: build(history.filter("winner <> 3"), *a))
+    assert (3, 3, 2) not in pick() and (23, 23, 1) in pick()
