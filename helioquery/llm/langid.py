@@ -6,7 +6,8 @@ Decoding sums each bit's logistic loss against every codeword, weighted by how w
 nearest codeword; the softmax of the negative losses is the score, and a text is ambiguous where the runner-up is close
 or the bits are farther from the chosen word than the code can correct.
 
-The model is fitted on a sample of at most about ``sample_rows`` labelled rows, dealt by a hash of the text.
+The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt by a hash of id and text, language by language: each
+in proportion to its rows, but ``least`` rows (all, if it has fewer) where that gives less, which is at most as many again.
 
 Null texts and texts without a letter are ``und`` with score 0 and not ambiguous. Null languages are not learned; with
 no language to learn all texts are ``und``, with one all others are that language. Repeated rows get equal results; an
@@ -100,21 +101,26 @@ def train(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.1,
     return Model(languages, code, w, b, trust / trust.mean())
 
 
-def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 4000) -> Model | None:
+def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = 4000, id_col: str = "doc_id", least: int = 50) -> Model | None:
     """A model from labelled rows; None where no row has a language and a letter."""
     ship(rows.sparkSession)
     rows = rows.filter(F.col(lang_col).isNotNull())
-    n = rows.count()  # reads no text
+    counts = dict(map(tuple, rows.groupBy(lang_col).count().collect()))  # reads no text
+    n = sum(counts.values())
     rows = rows.filter(F.col(text_col).isNotNull())
     if n > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+        least = min(least, sample_rows // len(counts))
+        shares = {k: min(1, max(sample_rows / n, least / c)) for k, c in counts.items()}
+        upto = F.create_map(*[F.lit(x) for k, share in shares.items() for x in (k, int(2**32 * share))])
+        mark = F.xxhash64(*[c for c in (id_col, text_col) if c in rows.columns])
+        rows = rows.filter(F.pmod(mark, F.lit(2**32)) < upto[F.col(lang_col)])
 
     def featured(batches):
         for batch in slices(batches):
             kept = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in kept], pa.string()), "x": pa.array([x for _, x in kept], pa.binary())})
 
-    table = rows.select(lang_col, text_col).mapInArrow(featured, "lang string, x binary").limit(2 * sample_rows).toArrow()
+    table = rows.select(lang_col, text_col).mapInArrow(featured, "lang string, x binary").limit(3 * sample_rows).toArrow()  # a bound; the sample stays below
     if not table.num_rows:
         return None
     x = np.empty((table.num_rows, DIMENSIONS), np.float32)

@@ -1,6 +1,7 @@
 """Language ID, toxicity and importance resampling: held-out accuracy, method, hard rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,17 @@ def test_language_of_hard_rows(spark):
     assert {r["lang_pred"] for r in L.identify(hard(spark), one).collect()} == {"en", "und"}
 
 
+def test_sample_holds_hot_texts_and_rare_languages_in_their_share(spark, monkeypatch):
+    text = "case when id < 6000 then 'one hot text' when id < 8980 then concat('other words ', id) else concat('zzz ', id) end as text"
+    docs = spark.range(9000).selectExpr("id as doc_id", text, "case when id < 6000 then 'aa' when id < 8980 then 'bb' else 'zz' end as lang")
+    seen = []
+    monkeypatch.setattr(L, "train", lambda x, labels: seen.append(Counter(labels)))
+    L.fit(docs, sample_rows=200)
+    L.fit(docs.repartition(7), sample_rows=200)
+    assert seen[0] == seen[1] and seen[0]["zz"] == 20
+    assert 80 < seen[0]["aa"] < 190 and 30 < seen[0]["bb"] < 110
+
+
 def test_prediction_reads_text_alone(spark):
     df = hard(spark)
     model = L.fit(df)
