@@ -9,6 +9,9 @@ of equal numbers of words. Slots 0, 1, .. of the schedule are Weyl points ``slot
 weights map a point to a source, and the slot's rank among its source's slots is the block it takes. The last block ends
 at the whole part of the target. Blocks beyond the schedule's count for their source (the discrepancy, a few) follow at the end.
 
+The schedule gives the order of the mix alone. Which words of which documents a source gives follows from its stream and
+its target, so sizes, targets and words taken do not depend on it.
+
 Hot sources: positions in a stream and ranks of slots come from sums per (source, bucket) and a window within a
 bucket, so no task holds a source. A document is cut at block bounds, never copied whole.
 
@@ -103,9 +106,9 @@ def words_size(text_col: str = "text") -> Column:
 
 
 def mixed_counts(docs: DataFrame, **options) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, size): row, doc_id, size, source_size, target, taken."""
+    """Per row of ``docs`` (doc_id, source, size): row, doc_id, size, source_size, target, taken, and slot: the first that takes words of it, null if none does."""
     mix, known = mix_sources(docs, **options)
-    counts = mix.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+    counts = mix.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.min("slot").alias("slot"))
     return known.join(counts, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 

@@ -70,6 +70,16 @@ def test_schedule_is_even_and_reruns_agree(spark):
     assert all(abs(shares[s] - total[s] / 2) <= 6 for s in total)
 
 
+def test_counts_carry_the_first_slot(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('s', id % 5) as source", "cast(20 + id % 7 as long) as size")
+    first = {}
+    for r in M.mix_sources(docs, block=32)[0].collect():
+        first[r["doc_id"]] = min(first.get(r["doc_id"], r["slot"]), r["slot"])
+    got = M.mixed_counts(docs, block=32).collect()
+    assert len(first) < 300 and {r["doc_id"]: r["slot"] for r in got} == {i: first.get(i) for i in range(300)}
+    assert all((r["slot"] is None) == (r["taken"] == 0) for r in got)
+
+
 def test_words_size(spark):
     texts = ["a b", "", None, " \t a\x0b\n b\x1fc  ", "é\xa0é", "x" * 100]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(M.words_size()).collect()
