@@ -10,15 +10,20 @@ works in it by regions, windows and recursion:
 2. A ring's sets are cut into parts by a hash of the shingle, more parts than shingles can differ (by some spare ones):
    two similar sets agree wholly in one part, with distance 0 there, so sets with an equal part are in one cell. Small
    parts (none or one shingle), which far sets share, are left out as long as the spare parts make up for them.
-3. The least class of a cell is a pivot; the sets that share a cell with it are its Voronoi region (a set may lie in
-   several: the windows of step 1 and the several parts replicate it). Any similar pair is together in a region.
-4. In a region, distances are bounded from below by sketches, the parities of the numbers of shingles in hash buckets
-   (their Hamming distance is a metric that never exceeds the symmetric difference). Sets near the pivot are compared with it exactly; those
-   that are linked to it need not be compared with each other. The others are compared with all sets in the window that
-   the triangle inequality leaves around their sketch's distance to the pivot's, first by sketches; those with a possible
-   partner are compared exactly, leaving out what links connect already, so a region gives no more links than members.
-   Regions above ``region_rows`` sets or ``region_shingles`` are cut into blocks and joined block by block, so no task
-   holds more than two blocks.
+3. The least class of a cell is its pivot; the sets that share a cell with it are its region (a set may lie in several:
+   the windows of step 1 and the several parts replicate it). Any similar pair is together in a region. Members that
+   sketches allow to be similar to the pivot are compared with it exactly, and such links make first components. A sketch
+   is the parities of the numbers of shingles in hash buckets; the Hamming distance of sketches is a metric that never
+   exceeds the symmetric difference.
+4. Where a region's members are not one component yet and more than ``region_rows``, some of them become pivots, and the
+   region is parted into their Voronoi regions: each member is at home with its nearest pivot, and a guest of those where the
+   triangle inequality (its distance less the least one, at most twice what similar sets differ in) leaves room for a
+   partner. Links with the pivots join components; then each part is a region, and this recurs until all are small enough.
+   A region that its pivots cannot part (its parts would have more than 0.7 of its pairs; so it is with members that
+   differ from one another as much as from any pivot) is dealt as it is, in blocks.
+5. In a region, members of another component than most, and guests, are compared with those at home: those in the window
+   around their distance to one of them, by short sketches, then by whole ones; what may be similar, exactly, leaving out what
+   links connect already. So a region gives fewer links than it has members, and no task holds more than two blocks.
 
 Document pivots alone do not do for step 1: unrelated texts have Jaccard distance close to 1 to every pivot, and
 windows of twice 1-t would replicate everything everywhere.
@@ -35,7 +40,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -209,17 +213,32 @@ def pivots(sets: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == _PAIR).select(F.col("a").alias("p"), F.col("b").alias("x")).unionByName(begun).distinct()
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of equal length: that of the shortest, the parts of longer ones added modulo 2."""
-    size = min(map(len, sketches))
+def _folded(sketches: list[bytes], size: int | None = None) -> np.ndarray:
+    """Sketches as rows of ``size`` bytes (that of the shortest), the parts of longer ones added modulo 2."""
+    size = size or min(map(len, sketches))
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(c, np.uint64).reshape(-1, size // 8), axis=0) for c in sketches])
 
 
+def _narrow(rows: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches folded to at most ``words`` words."""
+    while rows.shape[1] > words:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return np.ascontiguousarray(rows)
+
+
 def _apart(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Hamming distances; never more than the symmetric difference of the sets."""
     return np.bitwise_count(rows ^ row).sum(axis=1, dtype=np.int64)
 
 
+def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Hamming distances of each of ``rows`` and each of ``others``, a word at a time."""
+    out = np.zeros((len(rows), len(others)), np.int32)
+    for k in range(rows.shape[1]):
+        out += np.bitwise_count(rows[:, k, None] ^ others[None, :, k])
+    return out
+
+
 def _may(metric: Metric, least: np.ndarray, a, b) -> np.ndarray:
     """Whether sets of a and b elements that differ in ``least`` at least can be similar."""
     return metric.similar((a + b - least) // 2, a, b)
@@ -240,72 +259,176 @@ def near_pivot(regions: DataFrame, metric: Metric) -> DataFrame:
     return regions.mapInArrow(bounded, "a long, b long")
 
 
-class _Block:
-    """Members of one block pair of a region, ordered by their sketch's distance to the pivot's."""
-
-    def __init__(self, pdf: pd.DataFrame, metric: Metric):
-        rows = _folded([*pdf["sketch"], *pdf["psketch"].iloc[:1]])
-        self.metric, self.rows = metric, rows[:-1]
-        self.n, self.x, self.far, self.block = (pdf[k].to_numpy() for k in ("n", "x", "far", "block"))
-        self.apart_blocks = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
-        self.to_pivot = _apart(self.rows, rows[-1])
-        self.order = np.argsort(self.to_pivot, kind="stable")
-        self.ranked = self.to_pivot[self.order]
-
-    def partners(self, i: int, skip: np.ndarray | None = None) -> np.ndarray:
-        """Members that may be similar to member i, by window, sizes and sketches; of two far ones one has the other."""
-        reach = self.metric.differ(int(self.n[i]))
-        w = self.order[np.searchsorted(self.ranked, self.to_pivot[i] - reach) : np.searchsorted(self.ranked, self.to_pivot[i] + reach, "right")]
-        keep = (self.x[w] != self.x[i]) & (~self.far[w] | (self.x[w] > self.x[i])) & _may(self.metric, np.abs(self.n[w] - self.n[i]), self.n[w], self.n[i])
-        if self.apart_blocks:
-            keep &= self.block[w] != self.block[i]
-        if skip is not None:
-            keep &= ~skip[w]
-        w = w[keep]
-        return w[_may(self.metric, _apart(self.rows[w], self.rows[i]), self.n[w], self.n[i])]
+# -- regions: rows (r, x, n, sketch, home, anchor); pairs of a home row and another row of a region with another anchor count ----
+
+_SPLIT = "r long, x long, n long, sketch binary, home boolean, anchor long, px long, panchor long, near boolean"
+
+
+def nearest_pivots(metric: Metric):
+    """Members of a part of a region (and the region's pivots) to the pivots' Voronoi regions: at home with the nearest,
+    guests of those that the triangle inequality allows a partner to be at home with."""
+
+    def dealt(table: pa.Table) -> pa.Table:
+        x, n, home, anchor, pivot = (table[k].to_numpy() for k in ("x", "n", "home", "anchor", "pivot"))
+        rows = _folded(table["sketch"].to_pylist(), table["w"][0].as_py())
+        p = np.flatnonzero(pivot)
+        p = p[np.argsort(x[p])]  # the same order for all parts of a region
+        m = np.flatnonzero(~pivot)
+        far = _distances(rows[m], rows[p])
+        own = far.argmin(axis=1)
+        send = far <= (far.min(axis=1) + 2 * metric.differ(n[m]))[:, None]
+        send &= ~home[m][:, None] | (np.arange(len(p)) <= own[:, None])  # of two regions' members one is enough as a guest
+        i, j = np.nonzero(send)
+        at_home = home[m[i]] & (j == own[i])
+        i, j, least = m[i], p[j], far[i, j]
+        near = at_home & (anchor[i] != anchor[j]) & _may(metric, np.maximum(least, np.abs(n[i] - n[j])), n[i], n[j])
+        out = table.select(["r", "x", "n", "sketch"]).take(pa.array(i))
+        for name, column in (("home", at_home), ("anchor", anchor[i]), ("px", x[j]), ("panchor", anchor[j]), ("near", near)):
+            out = out.append_column(name, pa.array(column))
+        return out
+
+    return dealt
+
+
+def split(members: DataFrame, sizes: DataFrame, metric: Metric, region_rows: int, ways: int) -> DataFrame:
+    """One step of the recursion: rows of regions (``sizes``: r, m, w) dealt to the Voronoi regions of at most ``ways`` of their
+    members, preferably such as no link connects with others yet. Columns of ``_SPLIT``."""
+    rows = members.join(sizes.select("r", "m", "w"), "r")
+    mark = F.xxhash64("x", "r")
+    first = F.min(F.struct(F.col("anchor") != F.col("x"), mark.alias("h"), "x", "n", "sketch", "anchor")).alias("v")
+    pivots = rows.filter("home").groupBy("r", "m", "w", F.pmod(mark, F.lit(ways)).alias("k")).agg(first)
+    parts = F.ceil(F.col("m") / region_rows).cast("int")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pivots = pivots.select("r", "w", "salt", "v.x", "v.n", "v.sketch", F.lit(True).alias("home"), "v.anchor", F.lit(True).alias("pivot"))
+    rows = rows.select("r", "w", F.pmod(F.xxhash64("x"), parts).cast("int").alias("salt"), "x", "n", "sketch", "home", "anchor", F.lit(False).alias("pivot"))
+    return rows.unionByName(pivots).groupBy("r", "salt").applyInArrow(nearest_pivots(metric), _SPLIT)
+
+
+def region_sizes(members: DataFrame) -> DataFrame:
+    """r, m (rows) and w (bytes of the shortest sketch) of the regions that are still open: of more than one anchor."""
+    per = members.groupBy("r").agg(F.count(F.lit(1)).alias("m"), F.min(F.length("sketch")).alias("w"), F.min("anchor").alias("_a"), F.max("anchor").alias("_b"))
+    return written(per.filter("_a <> _b").drop("_a", "_b"), "region-sizes")
+
+
+def voronoi(members: DataFrame, metric: Metric, verify, region_rows: int, ways: int = 32) -> tuple[DataFrame, DataFrame | None]:
+    """Regions split around nearest pivots again and again until they have at most ``region_rows`` rows, and the links
+    found on the way. A region whose parts have more than 0.7 times the pairs of rows that it has, which pivots cannot part, stays whole."""
+    columns = ["r", "x", "n", "sketch", "home", "anchor"]
+    done, links = [], None
+    while True:
+        sizes = region_sizes(members)
+        done.append(members.join(sizes.filter(F.col("m") <= region_rows), "r", "left_semi"))
+        large = sizes.filter(F.col("m") > region_rows)
+        if large.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done), links
+        parted = written(split(members, large, metric, region_rows, ways), "split")
+        per = parted.groupBy("r", "px").agg(F.count(F.lit(1)).cast("double").alias("_k")).groupBy("r").agg(F.sum(F.col("_k") * F.col("_k")).alias("_pairs"))
+        fine = written(large.join(per, "r").filter("_pairs <= 0.7D * m * m").select("r"), "parted")
+        done.append(members.join(large, "r", "left_semi").join(fine, "r", "left_anti"))
+        parted = parted.join(fine, "r", "left_semi")
+        found = verify(parted.filter("near").select(F.col("px").alias("a"), F.col("x").alias("b")).distinct())
+        met = parted.filter("near").join(found.select(F.col("a").alias("px"), F.col("b").alias("x")), ["px", "x"]).groupBy("r", "x").agg(F.first("panchor").alias("_met"), F.first("anchor").alias("_was"))
+        met = written(met, "met")
+        new = met.select(F.col("_met").alias("a"), F.col("_was").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        moved = parted.join(met.drop("_was"), ["r", "x"], "left").withColumn("anchor", F.coalesce("_met", "anchor"))
+        members = written(moved.withColumn("r", F.xxhash64("r", "px")).select(columns), "members")
+
+
+def in_blocks(members: DataFrame, block_rows: int, block_shingles: int, *more: str) -> DataFrame:
+    """Rows of regions as probes (guests, and home rows of another anchor than most) and as members (home rows), each in
+    blocks; a probe meets each block of members: role, r, i, j and the columns of a row."""
+    anchors = members.groupBy("r", "anchor").agg(F.count(F.lit(1)).alias("_k"))
+    base = written(anchors.groupBy("r").agg(F.max(F.struct("_k", "anchor")).alias("_b"), F.sum("_k").alias("_m")), "bases")
+    rows = join_hot(members, base.select("r", F.col("_b.anchor").alias("base"), "_m"), "r", "_m", members.count())
+    rows = rows.withColumn("role", F.explode(F.when(~F.col("home"), F.array(F.lit(0))).when(F.col("anchor") != F.col("base"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    one = lambda k: F.sum((F.col("role") == k).cast("long"))
+    size = lambda k: F.sum(F.when(F.col("role") == k, F.col("n")))
+    blocks = lambda m, n: F.greatest(F.lit(1), F.ceil(F.col(m) / block_rows), F.ceil(F.col(n) / block_shingles)).cast("int")
+    per = rows.groupBy("r").agg(one(0).alias("_m0"), one(1).alias("_m1"), size(0).alias("_n0"), size(1).alias("_n1"), F.count(F.lit(1)).alias("_rows"))
+    per = written(per.filter("_m0 > 0 and _m1 > 0").select("r", blocks("_m0", "_n0").alias("_i"), blocks("_m1", "_n1").alias("_j"), "_rows"), "blocks")
+    rows = join_hot(rows.drop("_m"), per, "r", "_rows", members.count())
+    probe = F.col("role") == 0
+    own = F.pmod(F.xxhash64("x"), F.when(probe, F.col("_i")).otherwise(F.col("_j"))).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(probe, F.col("_j")).otherwise(F.col("_i")) - 1)))
+    both = F.col("home") & (F.col("anchor") != F.col("base"))
+    return rows.select("r", F.when(probe, F.col("_own")).otherwise(F.col("_other")).alias("i"), F.when(probe, F.col("_other")).otherwise(F.col("_own")).alias("j"),
+                       "role", "x", "n", "sketch", "anchor", both.alias("both"), *more)
+
+
+class _Leaf:
+    """Probes and members of a region or of a block pair of one, ordered by their sketch's distance to that of one of them."""
+
+    def __init__(self, table: pa.Table, metric: Metric):
+        self.metric = metric
+        self.x, self.n, self.anchor, self.both, role = (table[k].to_numpy() for k in ("x", "n", "anchor", "both", "role"))
+        self.rows = _folded(table["sketch"].to_pylist())
+        self.coarse = _narrow(self.rows, 8)
+        at = _apart(self.rows, self.rows[np.argmin(self.x)])
+        by = np.argsort(at, kind="stable")
+        self.at, self.probes, self.members = at, by[role[by] == 0], by[role[by] == 1]
+
+    def candidates(self):
+        """Arrays of probes and members of different anchors that may be similar, by window, sizes and sketches."""
+        ranked = self.at[self.members]
+        for start in range(0, len(self.probes), 64):
+            p = self.probes[start : start + 64]
+            reach = self.metric.differ(self.n[p])
+            m = self.members[np.searchsorted(ranked, (self.at[p] - reach).min()) : np.searchsorted(ranked, (self.at[p] + reach).max(), "right")]
+            least = np.maximum(_distances(self.coarse[p], self.coarse[m]), np.abs(self.n[p][:, None] - self.n[m]))
+            keep = _may(self.metric, least, self.n[p][:, None], self.n[m]) & (self.anchor[p][:, None] != self.anchor[m])
+            keep &= ~(self.both[p][:, None] & self.both[m]) | (self.x[p][:, None] < self.x[m])
+            i, j = np.nonzero(keep)
+            i, j = p[i], m[j]
+            if self.rows.shape[1] > self.coarse.shape[1]:
+                words = max(1, (1 << 20) // self.rows.shape[1])
+                for k in range(0, len(i), words):
+                    a, b = i[k : k + words], j[k : k + words]
+                    ok = _may(self.metric, np.bitwise_count(self.rows[a] ^ self.rows[b]).sum(axis=1, dtype=np.int64), self.n[a], self.n[b])
+                    yield a[ok], b[ok]
+            else:
+                yield i, j
 
 
 def open_members(metric: Metric):
-    """Members of a block pair that have a possible partner not yet connected with them."""
+    """(r, x) of the rows that have a possible partner of another anchor."""
 
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = _Block(pdf, metric)
-        used = np.zeros(len(pdf), bool)
-        for i in np.flatnonzero(b.far):
-            w = b.partners(i)
-            used[w] = True
-            used[i] |= len(w) > 0
-        return pdf.loc[used, ["p", "x"]]
+    def found(table: pa.Table) -> pa.Table:
+        leaf, used = _Leaf(table, metric), np.zeros(len(table), bool)
+        for i, j in leaf.candidates():
+            used[i] = used[j] = True
+        return table.select(["r", "x"]).filter(pa.array(used)).combine_chunks()
 
     return found
 
 
-def region_links(metric: Metric):
-    """Links within a block pair that connect what is connected there, each found exactly: a member is compared only with
-    those that no link connects with it yet."""
+def region_links(metric: Metric, gather: int = 1 << 20):
+    """Links of anchors within a region or block pair, each by an exactly compared pair; pairs that a link connects already
+    are not compared. At most ``gather`` shingles, or one set, are laid side by side."""
 
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", ignore_index=True)
-        b = _Block(pdf, metric)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
-        label = np.where(b.far, np.arange(len(pdf)), -1)  # those linked to the pivot are one already
+    def linked(table: pa.Table) -> pa.Table:
+        leaf = _Leaf(table, metric)
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["s"]]
+        anchors, label = np.unique(leaf.anchor, return_inverse=True)
+        of = np.arange(len(anchors))
         out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(b.far):
-            w = b.partners(i, label == label[i])
-            for at in range(0, len(w), 512):
-                part = w[at : at + 512]
-                part = part[label[part] != label[i]]
-                if not len(part):
-                    continue
-                flat = np.concatenate([sets[k] for k in part])
-                place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
-                starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in part])[:-1]))
-                common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), starts)
-                for k in part[metric.similar(common, b.n[part], b.n[i])]:
-                    if label[k] != label[i]:
-                        out.append((min(b.x[i], b.x[k]), max(b.x[i], b.x[k])))
-                        label[label == label[k]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        for rows, others in leaf.candidates():
+            for i in np.unique(rows):
+                left = others[rows == i]
+                while len(left := left[of[label[left]] != of[label[i]]]):
+                    part = left[: max(1, int(np.searchsorted(np.cumsum(leaf.n[left]), gather)))]
+                    left = left[len(part) :]
+                    flat = np.concatenate([sets[k] for k in part])
+                    place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+                    starts = np.concatenate(([0], np.cumsum(leaf.n[part])[:-1]))
+                    common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), starts)
+                    for k in part[metric.similar(common, leaf.n[part], leaf.n[i])]:
+                        a, b = of[label[i]], of[label[k]]
+                        if a != b:
+                            out.append((anchors[a], anchors[b]))
+                            of[of == b] = a
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends.min(axis=1) if len(ends) else [], pa.int64()), "b": pa.array(ends.max(axis=1) if len(ends) else [], pa.int64())})
 
     return linked
 
@@ -342,43 +465,48 @@ def verified(pairs: DataFrame, sets: DataFrame, metric: Metric) -> DataFrame:
     return written(full.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long"), "links")
 
 
-def similarity_links(docs: DataFrame, sets: DataFrame, metric: Metric, id_col: str, text_col: str, region_rows: int, region_shingles: int, broadcast_rows: int) -> DataFrame:
-    """Links (a, b) of classes that give the same components as all similar pairs."""
+def similar_components(docs: DataFrame, sets: DataFrame, metric: Metric, id_col: str, text_col: str, region_rows: int, region_shingles: int, broadcast_rows: int) -> DataFrame:
+    """c, root of the classes that links connect with others (root: one class of the component)."""
     fetch = functools.partial(shingle_sets, docs=docs, metric=metric, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows)
     known = sets.filter(F.col("c").isNotNull())
     classes = written(known.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep")), "classes")
     stars = written(pivots(known.select("keys", "c")), "stars")
     side = classes.select("c", "n", "sketch")
-    regions = written(stars.join(side.withColumnRenamed("c", "x"), "x").join(side.withColumnsRenamed({"c": "p", "n": "pn", "sketch": "psketch"}), "p"), "regions")
-    pairs = written(near_pivot(regions, metric), "pairs")
-    first = verified(pairs, fetch(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), classes=classes), metric)
+    regions = stars.join(side.withColumnRenamed("c", "x"), "x").join(side.withColumnsRenamed({"c": "p", "n": "pn", "sketch": "psketch"}), "p")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        return verified(pairs, fetch(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), classes=classes), metric)
 
-    flagged = regions.join(first.select(F.col("a").alias("p"), F.col("b").alias("x"), F.lit(False).alias("_far")), ["p", "x"], "left").withColumn("far", F.coalesce("_far", F.lit(True)))
-    sizes = flagged.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("_n"), F.max("far").alias("_any")).filter("_any and m > 1")
-    sizes = sizes.select("p", F.greatest(F.ceil(F.col("m") / region_rows), F.ceil(F.col("_n") / region_shingles)).cast("int").alias("blocks"))
+    first = written(components(verify(near_pivot(regions, metric))), "near")
 
-    def in_blocks(rows: DataFrame, *more: str) -> DataFrame:
-        """A row for each block pair that the member's block is in."""
-        dealt = rows.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return dealt.select("p", "x", "n", "sketch", "psketch", "far", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), *more)
+    # Regions whose members links with pivots, here or elsewhere, have not made one component.
+    anchored = stars.join(first.withColumnRenamed("node", "x"), "x", "left").select("p", "x", F.coalesce("root", "x").alias("anchor"))
+    unlike = written(anchored.groupBy("p").agg(F.min("anchor").alias("_a"), F.max("anchor").alias("_b")).filter("_a <> _b").select("p"), "unlike")
+    members = anchored.join(unlike, "p", "left_semi").join(side.withColumnRenamed("c", "x"), "x").select(F.col("p").alias("r"), "x", "n", "sketch", F.lit(True).alias("home"), "anchor")
+    members, links = voronoi(written(members, "members"), metric, verify, region_rows)
+    members = written(members, "leaves")
 
-    still = written(in_blocks(flagged).groupBy("p", "i", "j").applyInPandas(open_members(metric), "p long, x long").distinct(), "open")
-    left = fetch(still.select(F.col("x").alias("c")), classes=classes)
-    full = in_blocks(flagged.join(still, ["p", "x"]).join(left.withColumnRenamed("c", "x"), "x"), "s")
-    second = written(full.groupBy("p", "i", "j").applyInPandas(region_links(metric), "a long, b long").distinct(), "region-links")
-    return first.unionByName(second)
+    grouped = in_blocks(members, region_rows, 16 * region_shingles).groupBy("r", "i", "j")
+    still = written(grouped.applyInArrow(open_members(metric), "r long, x long").distinct(), "open")
+    full = in_blocks(members.join(still, ["r", "x"]).join(fetch(still.select(F.col("x").alias("c")), classes=classes).withColumnRenamed("c", "x"), "x"), region_rows, region_shingles, "s")
+    last = full.groupBy("r", "i", "j").applyInArrow(region_links(metric), "a long, b long").distinct()
+    more = written(last if links is None else last.unionByName(links), "region-links")
+    joined = written(components(more).select(F.col("node").alias("root"), F.col("root").alias("_root")), "joined")
+    roots = first.join(joined, "root", "left").select(F.col("node").alias("c"), F.coalesce("_root", "root").alias("root"))
+    # An anchor is the root of a component of the first links or a class without any, so it is no node there.
+    return roots.unionByName(joined.select(F.col("root").alias("c"), F.col("_root").alias("root")))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                       region_rows: int = 4096, region_shingles: int = 4_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+                       region_rows: int = 4096, region_shingles: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links of similarity >= num/den),
     class_id, text_hash, and stays (true for the rows with the least id and hash of their components)."""
     spark = docs.sparkSession
     ship(spark)
     metric = Metric(num, den, width)
     sets = written(doc_sets(docs, metric, id_col, text_col), "doc-sets")
-    links = similarity_links(docs, sets, metric, id_col, text_col, region_rows, region_shingles, broadcast_rows)
-    roots = components(links)
+    roots = similar_components(docs, sets, metric, id_col, text_col, region_rows, region_shingles, broadcast_rows).withColumnRenamed("c", "node")
     rows = sets.select("id", "n", "c", "th")
     with_words = written(rows.filter(F.col("c").isNotNull()).join(roots, F.col("c") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "c").alias("root")), "rooted")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
