@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ def ship(spark: SparkSession) -> None:
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/hq-{tag}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
     return path
 
 
@@ -56,22 +62,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def recorded(into: list[str]) -> Iterator[None]:
-    """Put the paths of all tables written meanwhile into a list."""
-    start = len(_WRITTEN)
+def outcome(work: Callable[[], DataFrame], spark: SparkSession, tag: str) -> DataFrame:
+    """What ``work`` returns, written; all tables written on the way are deleted."""
+    mine: list[str] = []
+    token = _SCRATCH.set(mine)
     try:
-        yield
+        df = work()
+        _SCRATCH.reset(token)
+        token = None
+        return written(df, tag)
     finally:
-        into += [p for _, p in _WRITTEN[start:]]
+        if token is not None:
+            _SCRATCH.reset(token)
+        for path in mine:
+            delete(spark, path)
+        gone = set(mine)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] not in gone]
 
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that nothing will read any more."""
-    for path in paths:
-        delete(spark, path)
-    _WRITTEN[:] = [w for w in _WRITTEN if w[1] not in paths]
-    paths.clear()
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` with a prefix that none of ``columns`` begins with, for helper columns beside a user's."""
+    prefix, taken = "_hq_", [c.lower() for c in columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix = f"_{prefix}"
+    return [f"{prefix}{n}" for n in names]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -115,7 +129,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-    pa.default_memory_pool().release_unused()  # workers live on after their tasks
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back; workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # -- hashing of words in numpy ---------------------------------------------------------------------

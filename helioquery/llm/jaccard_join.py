@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, join_hot, mix, partitions, shingle_hashes, ship, slices, word_hashes, written
+from .common import FOLD, join_hot, mix, outcome, partitions, shingle_hashes, ship, slices, trim, word_hashes, written
 from .components import components
 
 _RING = 1.5
@@ -397,6 +397,7 @@ def open_members(metric: Metric):
         leaf, used = _Leaf(table, metric), np.zeros(len(table), bool)
         for i, j in leaf.candidates():
             used[i] = used[j] = True
+        trim()
         return table.select(["r", "x"]).filter(pa.array(used)).combine_chunks()
 
     return found
@@ -428,6 +429,7 @@ def region_links(metric: Metric, gather: int = 1 << 20):
                             out.append((anchors[a], anchors[b]))
                             of[of == b] = a
         ends = np.array(out, np.int64).reshape(-1, 2)
+        trim()
         return pa.table({"a": pa.array(ends.min(axis=1) if len(ends) else [], pa.int64()), "b": pa.array(ends.max(axis=1) if len(ends) else [], pa.int64())})
 
     return linked
@@ -502,9 +504,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
                        region_rows: int = 4096, region_shingles: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links of similarity >= num/den),
     class_id, text_hash, and stays (true for the rows with the least id and hash of their components)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     metric = Metric(num, den, width)
+    return outcome(lambda: _components_of(docs, metric, id_col, text_col, region_rows, region_shingles, broadcast_rows), docs.sparkSession, "jaccard")
+
+
+def _components_of(docs: DataFrame, metric: Metric, id_col: str, text_col: str, region_rows: int, region_shingles: int, broadcast_rows: int) -> DataFrame:
     sets = written(doc_sets(docs, metric, id_col, text_col), "doc-sets")
     roots = similar_components(docs, sets, metric, id_col, text_col, region_rows, region_shingles, broadcast_rows).withColumnRenamed("c", "node")
     rows = sets.select("id", "n", "c", "th")
@@ -520,7 +525,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and all without words. ``found``: of :func:`jaccard_components`."""
-    found = written(found.select("doc_id", "text_hash", "class_id", "stays"), "found")
     gone = written(found.filter(~F.col("stays")).select("doc_id", "text_hash").distinct(), "gone")
     twice = written(found.filter(F.col("stays") & F.col("class_id").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "twice")
 

@@ -3,8 +3,8 @@
 Each language is a word of +1/-1 bits, far from the others; one logistic classifier over hashed byte n-grams (2 and 3
 bytes of the lower-cased text, digits and ASCII signs made spaces, square roots of relative counts) predicts each bit.
 Decoding sums each bit's logistic loss against every codeword, weighted by how well the bit was learned, and takes the
-nearest codeword; the softmax of the negative losses is the score, and a text is ambiguous where the runner-up is close
-or the bits are farther from the chosen word than the code can correct.
+nearest codeword; the softmax of the negative losses is the score, and a text is ambiguous where the score is below 0.6, or
+below 0.9 and the bits are farther from the chosen word than the code can correct.
 
 The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt by a hash of id and text, language by language: each
 in proportion to its rows, but ``least`` rows (all, if it has fewer) where that gives less, which is at most as many again.
@@ -77,7 +77,7 @@ class Model:
         score = p[np.arange(len(p)), best]
         d = (len(self.bias) - self.code.astype(int) @ self.code.T.astype(int)) // 2 + 10**6 * np.eye(len(self.code), dtype=int)
         wrong = (np.where(f >= 0, 1, -1) != self.code[best]).sum(axis=1)
-        return best, score, (score < 0.6) | (wrong > (d.min() - 1) // 2)
+        return best, score, (score < 0.6) | (score < 0.9) & (wrong > (d.min() - 1) // 2)
 
 
 def train(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 0.1, decay: float = 1e-5) -> Model:

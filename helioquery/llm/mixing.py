@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import outcome, written
 
 _GOLDEN = 2654435769  # 2**32 over the golden ratio, odd
 _RANGE = 2**32
@@ -116,9 +116,13 @@ def words_size(text_col: str = "text") -> Column:
 
 def mixed_counts(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs`` (doc_id, source, size): row, doc_id, size, source_size, target, taken, and slot: the first that takes words of it, null if none does."""
-    mix, known = mix_sources(docs, **options)
-    counts = mix.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.min("slot").alias("slot"))
-    return known.join(counts, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+    def counted() -> DataFrame:
+        mix, known = mix_sources(docs, **options)
+        counts = mix.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.min("slot").alias("slot"))
+        return known.join(counts, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+    return outcome(counted, docs.sparkSession, "mixed")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

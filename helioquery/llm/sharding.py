@@ -17,7 +17,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, unused, written
 
 _PRIME = 2**31 - 1
 ROUNDS = 8
@@ -115,30 +115,34 @@ def permuted(row: Column, n: int, seed: int = 0) -> Column:
         F.aggregate(F.sequence(F.lit(1), F.lit(a)), p, lambda q, _: F.when(q < n, q).otherwise(once(q)))))[0]
 
 
-def with_row_numbers(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """``df`` with numbers 0 .. n-1 in the order of the columns given, and n; no task sees more than its range."""
+def with_row_numbers(df: DataFrame, order: list[str | Column], name: str = "row_number") -> tuple[DataFrame, int]:
+    """``df`` with numbers 0 .. n-1 in the order given, and n; no task sees more than its range."""
     spark = df.sparkSession
+    tie, at, part, before = unused(df.columns, "tie", "at", "part", "before")
+    keys = unused(df.columns, *[f"key{i}" for i in range(len(order))])
+    keyed = df.withColumns({k: o if isinstance(o, Column) else df[o] for k, o in zip(keys, order, strict=True)})
     # The tie column only spreads equal rows over partitions.
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    dealt = tied.repartitionByRange(partitions(spark), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-    held = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
-    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()  # one row a partition
-    before, n = [], 0
-    for r in counts:
-        before.append((r["_part"], n))
-        n += r["_n"]
-    base = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))  # as many rows as partitions
-    out = held.withColumn("_part", part).join(base, "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before"), n
-
-
-def shard(df: DataFrame, shards: int = 16, order: list[str] | None = None, seed: int = 0) -> DataFrame:
+    tied = keyed.withColumn(tie, F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(partitions(spark), *keys, tie).sortWithinPartitions(*keys, tie).drop(tie, *keys)
+    held = written(dealt.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    number = F.shiftright(at, 33)
+    counts = held.groupBy(number.alias(part)).agg(F.count(F.lit(1)).alias(before)).orderBy(part).collect()  # one row a partition
+    base, n = [], 0
+    for k, m in counts:
+        base.append((k, n))
+        n += m
+    sums = F.broadcast(spark.createDataFrame(base, f"{part} long, {before} long"))  # as many rows as partitions
+    out = held.withColumn(part, number).join(sums, part)
+    return out.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, before), n
+
+
+def shard(df: DataFrame, shards: int = 16, order: list[str | Column] | None = None, seed: int = 0) -> DataFrame:
     """``df`` with its columns and row_number, shard (int) and slot (long)."""
-    df = df.drop("row_number", "shard", "slot", "_tie", "_at", "_part", "_before")
+    df = df.drop("row_number", "shard", "slot")
     numbered, n = with_row_numbers(df, order or ["doc_id"])
-    placed = numbered.withColumn("_p", permuted(F.col("row_number"), n, seed))
-    return placed.withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", _div(F.col("_p"), shards)).drop("_p")
+    (place,) = unused(df.columns, "place")
+    placed = numbered.withColumn(place, permuted(F.col("row_number"), n, seed))
+    return placed.withColumn("shard", (F.col(place) % shards).cast("int")).withColumn("slot", _div(F.col(place), shards)).drop(place)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
