@@ -108,7 +108,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def sampled(rows: DataFrame, mark: Column, share: float) -> DataFrame:
+    """The rows whose mark, a 64-bit hash, is in the lowest ``share`` of its range; shares down to 2**-62 hold."""
+    return rows.filter(F.shiftrightunsigned(mark, 2) < F.lit(share_bound(share)))
+
+
+def share_bound(share: float) -> int:
+    return min(2**62, int(2**62 * share))
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per ``key`` in ``groups``.
 
     Keys with more than a quarter of a mean partition of rows are joined by broadcast; there are at

@@ -3,14 +3,15 @@
 Lines (compared without spaces and tabs at either end) are hashed by threes, at every line; windows of blank lines
 alone don't count. A window that occurs again anywhere keeps its first occurrence, by document id, then line; the lines
 that later occurrences cover, merged, are removed from their documents. Windows travel as two 64-bit hashes, an id and a
-line number; occurrences are counted before the shuffle, and only repeated windows are joined back.
+line number; occurrences are counted before the shuffle, and only repeated windows are joined back, those of very many
+occurrences by broadcast.
 
 With ``short`` a document of fewer lines than the window, if not blank, is one window of all its lines, which equals that of
 another such document of the same lines. Without it, as in the SQL of the query, such documents have no window and stay whole,
 even as copies of one another.
 
 Null texts stay null; null ids come last; rows that have the first occurrence's id and line keep it together (repeated
-rows). An empty table gives an empty result; further columns stay.
+rows). An empty table gives an empty result; further columns stay, those named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, unused, written
 
 _LAST = 2**63 - 1
 
@@ -45,31 +46,33 @@ def windows(docs: DataFrame, width: int, id_col: str, text_col: str, short: bool
 
 def covered_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """id, text hash and the sorted numbers of lines to remove, of the documents that lose any."""
-    found = windows(docs, width, id_col, text_col, short)
+    found = written(windows(docs, width, id_col, text_col, short), "every-window")
     # A count in each task first, so a window that every document holds is one row a task here.
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first")).filter("n > 1")
-    again = found.join(written(repeated.drop("n"), "windows"), ["a", "b"]).filter(F.struct("id", "line") != F.col("first"))
+    again = join_hot(found, written(repeated, "windows"), ["a", "b"], "n", found.count()).filter(F.struct("id", "line") != F.col("first"))
     last = F.col("last") if short else F.col("line") + (width - 1)
     lines = again.select("id", "th", F.explode(F.sequence(F.col("line"), last)).alias("line"))
     return written(lines.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), "covered")
 
 
-def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = 4_000_000,
+def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20,
                short: bool = False) -> DataFrame:
     """``docs`` with its columns, the text without the removed lines, n_lines (before) and n_removed.
 
-    Up to ``broadcast_lines`` numbers of lines (8 bytes each) are broadcast, so texts stay where they are; more are joined by a shuffle."""
-    cover = covered_lines(docs, width, id_col, text_col, short).withColumnsRenamed({"id": "_id", "th": "_th", "removed": "_removed"})
-    docs = docs.drop("n_lines", "n_removed", "_id", "_th", "_removed")
-    held = cover.agg(F.coalesce(F.sum(F.size("_removed") + 8), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(cover) if held <= broadcast_lines else cover, (F.coalesce(F.col(id_col), F.lit(_LAST)) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
+    Lines to remove are broadcast up to ``broadcast_bytes`` (8 for a line, 200 more for a document and its place in a hash
+    table), so texts stay where they are; more are joined by a shuffle."""
+    docs = docs.drop("n_lines", "n_removed")
+    own, th, removed = unused(docs.columns, "id", "th", "removed")
+    cover = covered_lines(docs, width, id_col, text_col, short).withColumnsRenamed({"id": own, "th": th, "removed": removed})
+    held = cover.agg(F.coalesce(F.sum(F.size(removed) * 8 + 200), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(cover) if held <= broadcast_bytes else cover, (F.coalesce(F.col(id_col), F.lit(_LAST)) == F.col(own)) & (F.xxhash64(text_col) == F.col(th)), "left")
     lines = _lines(text_col)
-    keep = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("_removed"))
+    keep = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col(removed))
     cleaned = F.array_join(F.transform(keep, lambda i: F.get(lines, i.cast("int"))), "\n")
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.select(
-        *[F.when(F.col("_removed").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        n.alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(removed).isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        n.alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

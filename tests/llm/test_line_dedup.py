@@ -43,7 +43,7 @@ def documents():
 def test_brute_force(spark):
     docs = spark.createDataFrame(documents(), SCHEMA).repartition(3)
     for lines in (4_000_000, 0):
-        got = D.line_dedup(docs, broadcast_lines=lines).collect()
+        got = D.line_dedup(docs, broadcast_bytes=lines).collect()
         assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got), key=repr) == brute(documents())
 
 
@@ -62,7 +62,7 @@ def test_short_documents_are_one_window(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     removed = {2: 2, 5: 1, 12: 3, None: 1}
     for lines in (4_000_000, 0):
-        got = {r["doc_id"]: r for r in D.line_dedup(docs, broadcast_lines=lines, short=True).collect()}
+        got = {r["doc_id"]: r for r in D.line_dedup(docs, broadcast_bytes=lines, short=True).collect()}
         assert {i: r["n_removed"] for i, r in got.items() if r["n_removed"]} == removed
         assert {i: r["text"] for i, r in got.items()} == dict(rows) | {2: "", 5: "", None: "", 12: "z"}
     # longer documents lose the same lines with and without
