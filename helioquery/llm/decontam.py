@@ -6,9 +6,9 @@ spaces, bytes from 0x80 on are kept, so a word is a run of ASCII letters, digits
 of the automaton's alphabet, so windows cannot match across word bounds; it scans each normalised document once. Ends
 of matches are word numbers and, through the word bounds of the original text, become character offsets.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text (or one longer item). Test sets normally are one
-block and one automaton, which a worker keeps; of more blocks a worker holds one at a time and builds its automaton
-once for each batch of documents.
+The benchmark is read in blocks of at most ``block_bytes`` of text; a longer item is cut into pieces that share ``width - 1``
+words, so no window is lost. Test sets normally are one block and one automaton, which a worker keeps. Of more blocks a
+worker holds one automaton at a time and builds it once for each ``hold_bytes`` of documents.
 
 Items with a null id count for n_hit and spans like others; in ``items`` all of them are one null, sorted last, which counts as
 one item (as in the SQL, whose joined names leave it out). Null and empty texts have no words and no hits; repeated rows are scanned each for itself; an empty benchmark gives no
@@ -90,20 +90,35 @@ def scan(text: bytes, matchers: Iterable[Matcher]) -> tuple[int, int, list[str |
     return len(words), int(hit.sum()), items, spans
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, width: int) -> Iterator[list[tuple[str | None, str | None]]]:
     block, held = [], 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull())
-    for item, text in rows.toLocalIterator():
-        if block and held + len(text) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += len(text)
+    for item, whole in rows.toLocalIterator():
+        for text in _pieces(whole, width, block_bytes):
+            if block and held + len(text) > block_bytes:
+                yield block
+                block, held = [], 0
+            block.append((item, text))
+            held += len(text)
     yield block
 
 
+def _pieces(text: str, width: int, block_bytes: int) -> Iterator[str | bytes]:
+    """The text, or pieces of a longer one with all its windows: each ends with the first ``width - 1`` words of the next."""
+    if len(text) <= block_bytes:
+        yield text
+        return
+    words = words_of(text)
+    start = held = 0
+    for i, w in enumerate(words):
+        held += len(w) + 1
+        if held >= block_bytes // 2 and i - start >= 2 * width or i == len(words) - 1:
+            yield b" ".join(words[start : i + 1])
+            start, held = max(start, i + 2 - width), 0
+
+
 class _Matchers:
-    """Matchers of broadcast blocks, made anew for each batch if there are several."""
+    """Matchers of broadcast blocks, made anew each time if there are several."""
 
     def __init__(self, shipped: list, width: int):
         self.shipped, self.width, self.only = shipped, width, None
@@ -130,19 +145,19 @@ def _kept(block: list[tuple[str | None, str | None]], width: int) -> Matcher:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+                  item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 1 << 20,
+                 hold_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with its columns and n_words, n_hit, items (sorted, null last) and spans of hit text."""
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    shipped = [sc.broadcast(b) for b in _blocks(benchmark, item_id_col, item_text_col, block_bytes)]
+    shipped = [sc.broadcast(b) for b in _blocks(benchmark, item_id_col, item_text_col, block_bytes, width)]
     docs = docs.drop("n_words", "n_hit", "items", "spans")
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string(_RESULT).fields)
     place = docs.columns.index(text_col)
 
     def scanned(batches):
         matchers = _Matchers(shipped, width)
-        # of several blocks each one's automaton is built once a batch
-        for batch in slices(batches) if len(shipped) == 1 else batches:
+        for batch in slices(batches) if len(shipped) == 1 else _gathered(batches, hold_bytes):
             texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
             if len(shipped) > 1:
                 rows = _by_block(texts, matchers)
@@ -154,6 +169,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     return docs.mapInArrow(scanned, schema)
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], hold_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``hold_bytes``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= hold_bytes:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Found:
     """Hits of all blocks in one text, in the shape of a matcher."""
 
