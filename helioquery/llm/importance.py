@@ -1,12 +1,14 @@
 """Quality by importance resampling with hashed n-gram models.
 
 Two generative models over hashed word unigrams and bigrams are estimated: of the raw text, from every row, and of the
-target text, from the rows of the best label. A text's log importance weight is the sum of its n-grams' log ratios, or
-their mean (``per_gram``), which keeps long texts from deciding by length alone. Adding Gumbel noise, computed from the
-seed and the id, and taking the k largest draws k texts without replacement in proportion to the weights.
+target text, from the rows of the best label: all of them up to ``sample_rows``, beyond that as many, those with the least
+hashes of their ids. A text's log importance weight is the sum of its n-grams' log ratios, the logarithm of the ratio of
+the two models' likelihoods, or their mean (``per_gram``). Adding Gumbel noise, computed from the seed and the id, and
+taking the k largest draws k texts without replacement in proportion to the ratios.
 
 Null and empty texts have weight 0 (ratio 1). Without target rows all weights are 0. Null ids and repeated rows draw
-equal noise, ties go by id; an empty table gives an empty result; further columns stay.
+equal noise; ties go by id, then by hashes of all columns, so only equal rows are interchangeable. An empty table gives an
+empty result; further columns stay, those named like the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, mix, ship, slices, word_hashes
+from .common import FOLD_WORDS, mix, sampled, ship, slices, unused, word_hashes
 from .sharding import with_row_numbers
 
 BUCKETS = 10_000
@@ -59,17 +61,17 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          sample_rows: int = 200_000, per_gram: bool = True) -> DataFrame:
+          sample_rows: int = 200_000, per_gram: bool = False) -> DataFrame:
     """``docs`` with its columns and log_weight. Of the labelled rows at most about ``sample_rows`` make the target model."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("log_weight", "_good")
+    docs = docs.drop("log_weight")
     good = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
     n = good.count()
     if n > sample_rows:
-        good = good.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    good = F.broadcast(good.limit(2 * sample_rows).withColumn("_good", F.lit(True)))
-    counts = count_grams(docs.select(id_col, text_col).join(good, id_col, "left"), text_col, "_good")
+        good = sampled(good, F.xxhash64(id_col), sample_rows / n).orderBy(F.xxhash64(id_col), id_col).limit(2 * sample_rows)
+    good = F.broadcast(good.select(F.col(id_col).alias("id"), F.lit(True).alias("good")))
+    counts = count_grams(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, "id", "left"), "text", "good")
     shipped = spark.sparkContext.broadcast(log_ratio(counts))
     schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())])
     place = docs.columns.index(text_col)
@@ -89,16 +91,19 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def resample(weighed: DataFrame, fraction: float, seed: int = 0, id_col: str = "doc_id", temperature: float = 1.0) -> DataFrame:
     """``weighed`` with its columns, gumbel_key, rank (from 0) and selected: the ``fraction`` of rows with the largest keys."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(2**52).cast("long")) + 0.5) / float(2**52)
-    keyed = weighed.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(u))).withColumn("_down", -F.col("gumbel_key"))
-    ranked, n = with_row_numbers(keyed, ["_down", id_col], "rank")
-    return ranked.drop("_down").withColumn("selected", F.col("rank") < F.lit(int(np.ceil(fraction * n))))
+    weighed = weighed.drop("gumbel_key", "rank", "selected")
+    every = F.struct(*[weighed[c] for c in weighed.columns])
+    tied, other = unused(weighed.columns, "tied", "other")
+    keyed = weighed.withColumns({tied: F.xxhash64(every), other: F.xxhash64(F.lit(1), every), "gumbel_key": F.col("log_weight") / temperature - F.log(-F.log(u))})
+    ranked, n = with_row_numbers(keyed, [-F.col("gumbel_key"), id_col, tied, other], "rank")
+    return ranked.drop(tied, other).withColumn("selected", F.col("rank") < F.lit(int(np.ceil(fraction * n))))
 
 
 def op4_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """Half of all documents, drawn by their likeness to those of label quality = 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     weighed = weigh(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return resample(weighed.drop("text"), 0.5, temperature=0.05)
+    return resample(weighed.withColumn("text", F.xxhash64("text")), 0.5).drop("text")
 
 
 ORACLE: dict[str, str] = {}
