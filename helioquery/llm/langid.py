@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, crc32_of_id, ship, slices
+from .common import FOLD_WORDS, crc32_of_id, share_bound, ship, slices, trim
 
 DIMENSIONS = 4096
 _LETTERS_ONLY = bytes(32 if 48 <= b <= 57 else b for b in FOLD_WORDS)
@@ -108,19 +108,21 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_
     counts = dict(map(tuple, rows.groupBy(lang_col).count().collect()))  # reads no text
     n = sum(counts.values())
     rows = rows.filter(F.col(text_col).isNotNull())
+    mark = F.xxhash64(*[c for c in (id_col, text_col) if c in rows.columns])
     if n > sample_rows:
         least = min(least, sample_rows // len(counts))
         shares = {k: min(1, max(sample_rows / n, least / c)) for k, c in counts.items()}
-        upto = F.create_map(*[F.lit(x) for k, share in shares.items() for x in (k, int(2**32 * share))])
-        mark = F.xxhash64(*[c for c in (id_col, text_col) if c in rows.columns])
-        rows = rows.filter(F.pmod(mark, F.lit(2**32)) < upto[F.col(lang_col)])
+        upto = F.create_map(*[F.lit(x) for k, share in shares.items() for x in (k, share_bound(share))])
+        rows = rows.filter(F.shiftrightunsigned(mark, 2) < upto[F.col(lang_col)])
 
     def featured(batches):
         for batch in slices(batches):
-            kept = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in kept], pa.string()), "x": pa.array([x for _, x in kept], pa.binary())})
+            kept = [(lang, m, features(t).astype(np.float16).tobytes()) for lang, m, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _, _ in kept], pa.string()), "mark": pa.array([m for _, m, _ in kept], pa.int64()), "x": pa.array([x for *_, x in kept], pa.binary())})
 
-    table = rows.select(lang_col, text_col).mapInArrow(featured, "lang string, x binary").limit(3 * sample_rows).toArrow()  # a bound; the sample stays below
+    found = rows.select(lang_col, mark, text_col).mapInArrow(featured, "lang string, mark long, x binary")
+    # A bound, by the least marks; the sample stays below, unless a third of all rows are one text without an id.
+    table = found.orderBy("mark", "lang").limit(3 * sample_rows).toArrow()
     if not table.num_rows:
         return None
     x = np.empty((table.num_rows, DIMENSIONS), np.float32)
@@ -128,7 +130,10 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_
         x[i] = np.frombuffer(row.as_buffer(), np.float16)
     labels = table["lang"].to_pylist()
     del table
-    return train(x, labels)
+    model = train(x, labels)
+    del x
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -5,11 +5,13 @@ the training sample (a likelihood ratio statistic over ``floor``, the ``terms``
 has a linear weight and a vector of ``factors`` numbers, and the inner product of two terms' vectors is the weight of
 their meeting, so that an insult beside a group's name can weigh more than both alone. The bias is set by cross-fitting
 so that a score of 0.7 parts the labels best. Presence, not frequency, keeps
-long texts comparable with short ones. It is fitted with Adam on a sample of at most about ``sample_rows`` labelled rows
-dealt by a hash of their ids; the whole text of every row is read.
+long texts comparable with short ones. It is fitted with Adam on a sample of labelled rows, those with the least hashes of
+their ids: about ``sample_rows``, or fewer where their terms take more than ``sample_bytes`` (4 bytes each). The whole text of
+every row is read.
 
 Null and empty texts have no terms and score like a text of unknown words. Rows without a label or with a null one are
-not learned from; of several labels of an id the highest counts. Without labels every score is 0. Repeated rows get
+not learned from; of several labels of an id the highest counts. Without labels every score is 0; with fewer than 20 of
+either kind the bias stays as it was fitted. Repeated rows get
 equal results; an empty table gives an empty result; further columns stay.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD_WORDS, crc32_of_id, ship, slices, word_hashes
+from .common import FOLD_WORDS, crc32_of_id, sampled, ship, slices, word_hashes, written
 
 BUCKETS = 1 << 31  # so many that a long text's rare words don't fall on a chosen term by chance
 
@@ -135,25 +137,46 @@ def calibrated(found: list[np.ndarray], y: np.ndarray, seed: int = 0, **options)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 24_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 24_000,
+        sample_bytes: int = 128 << 20) -> Model | None:
     """A model from the documents that ``labels`` (id, label) names; None without any."""
     ship(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     n = known.count()
+    known = known.withColumn("_mark", F.shiftrightunsigned(F.xxhash64(id_col), 2))
     if n > sample_rows:
-        known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    known = known.limit(2 * sample_rows)  # the bound of what is broadcast; the hash gives half of that
+        known = sampled(known, F.xxhash64(id_col), sample_rows / n)
+    known = known.orderBy("_mark", id_col).limit(2 * sample_rows)  # the bound of what is broadcast; the hash gives half of that
 
     def termed(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([terms(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["mark", "y", "x"])
 
-    table = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select("_y", text_col).mapInArrow(termed, "y int, x binary").toArrow()
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known.select(F.col(id_col).alias("_id"), "_y", "_mark")), "_id")
+    found = written(named.select("_mark", "_y", "_text").mapInArrow(termed, "mark long, y int, x binary"), "terms")
+    table = bounded(found, sample_rows, sample_bytes).toArrow()
     if not table.num_rows:
         return None
     return calibrated([np.frombuffer(x, np.int32) for x in table["x"].to_pylist()], table["y"].to_numpy())
 
 
+def bounded(found: DataFrame, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """The rows (mark, y, x) with the least marks that fit into three times ``sample_rows`` rows and into ``sample_bytes``, in a
+    fixed order. Rows are counted by 1,000 ranges of marks, and whole ranges are left out."""
+    most = found.agg(F.max("mark")).first()[0]
+    if most is None:
+        return found
+    step = most // 1000 + 1
+    part = F.call_function("div", F.col("mark"), F.lit(step).cast("long"))
+    rows = size = 0
+    for k, n, more in sorted(map(tuple, found.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.sum(F.length("x") + 16)).collect())):
+        rows, size = rows + n, size + more
+        if rows > 3 * sample_rows or size > sample_bytes:
+            found = found.filter(part < k)
+            break
+    return found.orderBy("mark", "y", "x")
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and score."""
     spark = docs.sparkSession
