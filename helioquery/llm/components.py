@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+def _marked(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and the sum of their hashes, which writing counts."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")), tag)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +31,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """node, root (the least node of the component) of every node that has a link; ``links``: two columns of longs."""
     a, b = links.columns
-    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), tag)
+    edges, now = _marked(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), tag)
     mark = None
-    while mark != (now := _mark(edges)):
+    while mark != now:
         mark = now
-        edges = written(_small_star(_large_star(edges)), tag)
+        edges, now = _marked(_small_star(_large_star(edges)), tag)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,16 +12,17 @@ works in it by regions, windows and recursion:
    parts (none or one shingle), which far sets share, are left out as long as the spare parts make up for them.
 3. The least class of a cell is its pivot; the sets that share a cell with it are its region (a set may lie in several:
    the windows of step 1 and the several parts replicate it). Any similar pair is together in a region. Members that
-   sketches allow to be similar to the pivot are compared with it exactly, and such links make first components. A sketch
+   sketches allow to be similar to the pivot are compared with it exactly, and such links give them anchors: the least pivot
+   that they, or a pivot of theirs, are linked with. A sketch
    is the parities of the numbers of shingles in hash buckets; the Hamming distance of sketches is a metric that never
    exceeds the symmetric difference.
-4. Where a region's members are not one component yet and more than ``region_rows``, some of them become pivots, and the
+4. Where a region's members have several anchors and are more than ``region_rows``, some of them become pivots, and the
    region is parted into their Voronoi regions: each member is at home with its nearest pivot, and a guest of those where the
    triangle inequality (its distance less the least one, at most twice what similar sets differ in) leaves room for a
-   partner. Links with the pivots join components; then each part is a region, and this recurs until all are small enough.
+   partner. Links with the pivots join anchors; then each part is a region, and this recurs until all are small enough.
    A region that its pivots cannot part (its parts would have more than 0.7 of its pairs; so it is with members that
    differ from one another as much as from any pivot) is dealt as it is, in blocks.
-5. In a region, members of another component than most, and guests, are compared with those at home: those in the window
+5. In a region, members of another anchor than most, and guests, are compared with those at home: those in the window
    around their distance to one of them, by short sketches, then by whole ones; what may be similar, exactly, leaving out what
    links connect already. So a region gives fewer links than it has members, and no task holds more than two blocks.
 
@@ -50,6 +51,7 @@ from .components import components
 
 _RING = 1.5
 _SEEN = 200_000
+_TRIM = 1000  # groups of so many rows give freed memory back
 _SEEDS = np.uint64(0xA0761D6478BD642F)
 
 
@@ -397,7 +399,8 @@ def open_members(metric: Metric):
         leaf, used = _Leaf(table, metric), np.zeros(len(table), bool)
         for i, j in leaf.candidates():
             used[i] = used[j] = True
-        trim()
+        if len(table) > _TRIM:
+            trim()
         return table.select(["r", "x"]).filter(pa.array(used)).combine_chunks()
 
     return found
@@ -429,7 +432,8 @@ def region_links(metric: Metric, gather: int = 1 << 20):
                             out.append((anchors[a], anchors[b]))
                             of[of == b] = a
         ends = np.array(out, np.int64).reshape(-1, 2)
-        trim()
+        if len(table) > _TRIM:
+            trim()
         return pa.table({"a": pa.array(ends.min(axis=1) if len(ends) else [], pa.int64()), "b": pa.array(ends.max(axis=1) if len(ends) else [], pa.int64())})
 
     return linked
@@ -480,10 +484,13 @@ def similar_components(docs: DataFrame, sets: DataFrame, metric: Metric, id_col:
         pairs = written(pairs, "pairs")
         return verified(pairs, fetch(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), classes=classes), metric)
 
-    first = written(components(verify(near_pivot(regions, metric))), "near")
+    first = verify(near_pivot(regions, metric))
 
-    # Regions whose members links with pivots, here or elsewhere, have not made one component.
-    anchored = stars.join(first.withColumnRenamed("node", "x"), "x", "left").select("p", "x", F.coalesce("root", "x").alias("anchor"))
+    # The least pivot that a class is linked with, or that this one is linked with; a pivot is less than its region's members.
+    hop = written(first.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("m")), "hop")
+    hops = hop.join(hop.select(F.col("x").alias("m"), F.col("m").alias("_m")), "m", "left").select("x", F.coalesce("_m", "m").alias("_anchor"))
+    # Regions whose members links with pivots, here or elsewhere, have not made one component that far.
+    anchored = written(stars.join(hops, "x", "left").select("p", "x", F.coalesce("_anchor", "x").alias("anchor")), "anchored")
     unlike = written(anchored.groupBy("p").agg(F.min("anchor").alias("_a"), F.max("anchor").alias("_b")).filter("_a <> _b").select("p"), "unlike")
     members = anchored.join(unlike, "p", "left_semi").join(side.withColumnRenamed("c", "x"), "x").select(F.col("p").alias("r"), "x", "n", "sketch", F.lit(True).alias("home"), "anchor")
     members, links = voronoi(written(members, "members"), metric, verify, region_rows)
@@ -493,11 +500,8 @@ def similar_components(docs: DataFrame, sets: DataFrame, metric: Metric, id_col:
     still = written(grouped.applyInArrow(open_members(metric), "r long, x long").distinct(), "open")
     full = in_blocks(members.join(still, ["r", "x"]).join(fetch(still.select(F.col("x").alias("c")), classes=classes).withColumnRenamed("c", "x"), "x"), region_rows, region_shingles, "s")
     last = full.groupBy("r", "i", "j").applyInArrow(region_links(metric), "a long, b long").distinct()
-    more = written(last if links is None else last.unionByName(links), "region-links")
-    joined = written(components(more).select(F.col("node").alias("root"), F.col("root").alias("_root")), "joined")
-    roots = first.join(joined, "root", "left").select(F.col("node").alias("c"), F.coalesce("_root", "root").alias("root"))
-    # An anchor is the root of a component of the first links or a class without any, so it is no node there.
-    return roots.unionByName(joined.select(F.col("root").alias("c"), F.col("_root").alias("root")))
+    more = last if links is None else last.unionByName(links)
+    return components(first.unionByName(more)).select(F.col("node").alias("c"), "root")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text",
