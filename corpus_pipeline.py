@@ -62,7 +62,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         counts = mixing.mixed_counts(sized).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
         return counts.select("doc_id", F.round(F.try_divide("taken", "size")).cast("int").alias("n")).filter("n > 0")
 
-    some = common.outcome(copies, spark, "copies")
+    some = common.outcome(copies, spark, "copies").hint("merge")  # as large as the ids: never broadcast
     own, n, copy = common.unused(docs.columns, "id", "copies", "copy")
     taken = docs.join(some.select(F.col("doc_id").alias(own), F.col("n").alias(n)), docs["doc_id"].eqNullSafe(F.col(own)))
     return _columns(taken.filter(F.length(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     "))) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))), docs)
