@@ -25,7 +25,7 @@ from ..functions.exprs import all_of, case_eq, date_shift, divide, sum0
 from ..sources.catalog import read_table, tables
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<date>\d{4}-\d\d-\d\d)|(?P<number>\d+(?:\.\d+)?)(?P<type>:\s*[A-Z]+(?:\s+[A-Z]+)?(?:\(\s*\d+(?:\s*,\s*\d+)*\s*\))?)?"
+    r"\s*(?:(?P<date>\d{4}-\d\d-\d\d)|(?P<number>-?\d+(?:\.\d+)?)(?P<type>:\s*[A-Z]+(?:\s+[A-Z]+)?(?:\(\s*\d+(?:\s*,\s*\d+)*\s*\))?)?"
     r"|(?P<string>'(?:[^']|'')*')(?::\s*[A-Z]+(?:\(\s*\d+\s*\))?)?|null:(?P<null>[A-Z]+)|\$(?P<column>\d+)"
     r"|(?P<name>\$?[A-Za-z_][A-Za-z_0-9]*|<>|>=|<=|[=<>+\-*/])|(?P<sign>[(),\[\]]))"
 )

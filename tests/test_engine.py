@@ -95,6 +95,7 @@ def test_plan_text_strings_and_arithmetic(spark, tmp_path):
     assert rows(run("S;t;true;0,2\nF;0;<>($0, 1)\nP;1;[+($0, 1), *($1, $0), /(1, $0), -($0, 5)]")) == [(3, 8.0, 0.5, -3)]
     assert rows(run("S;t;true;0\nP;0;[CASE(=($0, 1), 10, 20), null:DOUBLE]")) == [(10, None), (20, None), (20, None)]
     assert run("S;t;true;1\nA;0;0;").count() == 3
+    assert rows(run("S;t;true;0,2\nF;0;>($1, -2.5)\nP;1;[-($0, -5)]")) == [(6,), (7,)]
     assert rows(run("S;t;true;0\nS;t;true;0,1\nJ;0;1;0;1")) == [(1, 1, "a,(b);'c'"), (2, 2, "x")]
 
 
