@@ -6,9 +6,9 @@ that later occurrences cover, merged, are removed from their documents. Windows
 line number; occurrences are counted before the shuffle, and only repeated windows are joined back, those of very many
 occurrences by broadcast.
 
-With ``short`` a document of fewer lines than the window, if not blank, is one window of all its lines, which equals that of
-another such document of the same lines. Without it, as in the SQL of the query, such documents have no window and stay whole,
-even as copies of one another.
+With ``short``, as in the query, a document of fewer lines than the window, if not blank, is one window of all its lines, which
+equals that of another such document of the same lines. Without it such documents have no window and stay whole, even as copies
+of one another.
 
 Null texts stay null; null ids come last; rows that have the first occurrence's id and line keep it together (repeated
 rows). An empty table gives an empty result; further columns stay, those named n_lines or n_removed are replaced.
@@ -78,7 +78,7 @@ def line_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = line_dedup(docs)
+    out = line_dedup(docs, short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
@@ -87,9 +87,9 @@ ORACLE = {
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
 t AS (SELECT doc_id, list_transform(raw, lambda x: trim(translate(x, chr(9) || chr(13), '  '))) AS ln, raw FROM l),
 w AS (SELECT doc_id, i - 1 AS line, ln[i] AS x, ln[i + 1] AS y, ln[i + 2] AS z
-      FROM (SELECT doc_id, ln, unnest(range(1, len(ln) - 1)) AS i FROM t WHERE len(ln) >= 3) WHERE len(ln[i] || ln[i + 1] || ln[i + 2]) > 0),
-o AS (SELECT doc_id, line, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, line) AS k FROM w),
-r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(line, line + 3)) AS p FROM o WHERE k > 1) GROUP BY doc_id)
+      FROM (SELECT doc_id, ln, unnest(range(1, greatest(len(ln) - 1, 2))) AS i FROM t) WHERE len(ln[i] || coalesce(ln[i + 1], '') || coalesce(ln[i + 2], '')) > 0),
+o AS (SELECT doc_id, line, z, y, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, line) AS k FROM w),
+r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(line, line + 1 + CAST(y IS NOT NULL AS INT) + CAST(z IS NOT NULL AS INT))) AS p FROM o WHERE k > 1) GROUP BY doc_id)
 SELECT l.doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(raw)), lambda i: NOT list_contains(gone, i)), lambda i: raw[i + 1]), chr(10)) END, '')) AS text_sha256
 FROM l LEFT JOIN r USING (doc_id)

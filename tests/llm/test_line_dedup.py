@@ -5,23 +5,24 @@ from cases import SCHEMA, hard, hard_rows, nothing, row
 from helioquery.llm import line_dedup as D
 
 
-def brute(rows, width=3):
+def brute(rows, width=3, short=False):
+    fits = lambda x: range(max(len(x) - width + 1, int(short))) if x else ()
     last = 2**63 - 1
     lines = [None if r[1] is None else r[1].split("\n") for r in rows]
     norm = [None if x is None else [y.replace("\t", " ").replace("\r", " ").strip(" ") for y in x] for x in lines]
     first = {}
     for r, x in zip(rows, norm):
-        for i in range(len(x) - width + 1 if x else 0):
+        for i in fits(x):
             w = tuple(x[i : i + width])
             if any(w):
                 at = (last if r[0] is None else r[0], i)
                 first[w] = min(first.get(w, at), at)
     gone = {}
     for r, x in zip(rows, norm):
-        for i in range(len(x) - width + 1 if x else 0):
+        for i in fits(x):
             w = tuple(x[i : i + width])
             if any(w) and first[w] != (last if r[0] is None else r[0], i):
-                gone.setdefault((r[0], r[1]), set()).update(range(i, i + width))
+                gone.setdefault((r[0], r[1]), set()).update(range(i, min(i + width, len(x))))
     out = []
     for r, x in zip(rows, lines):
         g = gone.get((r[0], r[1]), set())
@@ -43,8 +44,9 @@ def documents():
 def test_brute_force(spark):
     docs = spark.createDataFrame(documents(), SCHEMA).repartition(3)
     for lines in (4_000_000, 0):
-        got = D.line_dedup(docs, broadcast_bytes=lines).collect()
-        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got), key=repr) == brute(documents())
+        for short in (False, True):
+            got = D.line_dedup(docs, broadcast_bytes=lines, short=short).collect()
+            assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got), key=repr) == brute(documents(), short=short)
 
 
 def test_overlapping_windows_merge_within_a_document(spark):
