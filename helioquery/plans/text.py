@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_of, case_eq, date_shift, divide, sum0
-from ..sources.catalog import read_table, tables
+from ..sources.catalog import read_table, table_schema, tables
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<date>\d{4}-\d\d-\d\d)|(?P<number>-?\d+(?:\.\d+)?)(?P<type>:\s*[A-Z]+(?:\s+[A-Z]+)?(?:\(\s*\d+(?:\s*,\s*\d+)*\s*\))?)?"
@@ -179,9 +179,9 @@ def build(spark: SparkSession, db_dir: str, plan: str) -> DataFrame:
             if kind == "S":
                 if parts[0] not in paths:
                     raise PlanError(f"no table {parts[0]}")
-                df = read_table(spark, paths[parts[0]])
-                wanted = _numbers(parts[2]) if parts[1].strip().lower() == "true" else range(len(df.columns))
-                df = df.select(*[df.columns[i] for i in wanted])
+                names = table_schema(spark, paths[parts[0]]).names
+                wanted = [names[i] for i in _numbers(parts[2])] if parts[1].strip().lower() == "true" else names
+                df = read_table(spark, paths[parts[0]], list(dict.fromkeys(wanted))).select(*wanted)
             elif kind == "F":
                 source = made[int(parts[0])]
                 (condition,) = parse(parts[1])

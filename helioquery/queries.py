@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import exprs as X
 from .operators import columnar, relational
 from .plans.text import build
+from .sources import arrow_ipc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -348,6 +351,105 @@ def render_text(spark, d):
     return text_rows(_t(spark, d, "nation", "n_nationkey", "n_name"))
 
 
+# -- the Arrow source --------------------------------------------------------------------------------
+
+
+def _arrow(spark: SparkSession, d: str, *names: str) -> str:
+    """A directory with tables as Arrow IPC files, in the folder that ``spark.checkpoint.dir`` names (local mode: a temporary one)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = f"{(base or tempfile.gettempdir()).rstrip('/')}/hq-arrow-{uuid.uuid4().hex}"
+    for name in names:
+        arrow_ipc.write(_t(spark, d, name), f"{top}/{name}.arrow")
+    return top
+
+
+@_query("SELECT * FROM nation")
+def arrow_scan_full(spark, d):
+    return arrow_ipc.read(spark, f"{_arrow(spark, d, 'nation')}/nation.arrow")
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer")
+def arrow_scan_pruned(spark, d):
+    return arrow_ipc.read(spark, f"{_arrow(spark, d, 'customer')}/customer.arrow", ["c_custkey", "c_acctbal"])
+
+
+_ARROW_SQL = "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer) GROUP BY n_name"
+
+
+@_query(_ARROW_SQL)
+def arrow_sql(spark, d):
+    from .session import Engine
+
+    return Engine(spark, _arrow(spark, d, "customer", "nation")).sql(_ARROW_SQL)
+
+
+@_query("SELECT c_custkey, c_acctbal - (-5) AS moved FROM customer WHERE c_acctbal > -500")
+def arrow_plan_text(spark, d):
+    plan = "S;customer;true;0,{}\nF;0;>($1, -500)\nP;1;[$0, -($1, -5)]"
+    at = _t(spark, d, "customer").columns.index("c_acctbal")
+    return build(spark, _arrow(spark, d, "customer"), plan.format(at)).toDF("c_custkey", "moved")
+
+
+# -- further conditions and payloads -----------------------------------------------------------------
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE ((CAST(l_linenumber AS BIGINT) << 2) & 12) = 4")
+def filter_shift_and(spark, d):
+    rows = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    return rows.filter(F.shiftleft(c("l_linenumber").cast("long"), 2).bitwiseAND(F.lit(12)) == 4)
+
+
+@_query("""SELECT o_orderkey FROM orders WHERE (CASE WHEN o_totalprice < 100000 THEN NULL ELSE o_orderpriority END) IS NULL
+OR NOT (o_orderpriority IN ('1-URGENT', '2-HIGH') OR CAST(o_totalprice AS BIGINT) > 200000)""")
+def filter_null_in_cast(spark, d):
+    cheap = F.when(c("o_totalprice") < 100000, F.lit(None)).otherwise(c("o_orderpriority"))
+    whole = F.round("o_totalprice").cast("long")
+    return _t(spark, d, "orders").filter(cheap.isNull() | ~(c("o_orderpriority").isin("1-URGENT", "2-HIGH") | (whole > 200000))).select("o_orderkey")
+
+
+@_query("SELECT c_custkey, c_acctbal > 0 AS paid FROM customer WHERE c_acctbal > 0")
+def filter_bool_column(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", (c("c_acctbal") > 0).alias("paid")).filter("paid")
+
+
+@_query("SELECT n_nationkey, hex(encode(n_name)) AS bytes FROM nation WHERE encode(n_name) = encode('FRANCE') OR encode(n_name) = encode('NATION_3')")
+def filter_eq_binary(spark, d):
+    raw = _t(spark, d, "nation", "n_nationkey", "n_name").select("n_nationkey", c("n_name").cast("binary").alias("raw"))
+    return raw.filter((c("raw") == F.lit(b"FRANCE")) | (c("raw") == F.lit(b"NATION_3"))).select("n_nationkey", F.hex("raw").alias("bytes"))
+
+
+@_query("""SELECT c_custkey, hex(encode(c_name)) AS name_bytes, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS ordered
+FROM customer JOIN orders ON c_custkey = o_custkey""")
+def join_payloads(spark, d):
+    left = _t(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", c("c_name").cast("binary").alias("raw"))
+    right = _t(spark, d, "orders", "o_custkey", "o_orderdate").select("o_custkey", c("o_orderdate").cast("date").alias("day"))
+    return relational.inner_join(left, right, "c_custkey", "o_custkey").select("c_custkey", F.hex("raw").alias("name_bytes"), c("day").cast("string").alias("ordered"))
+
+
+@_query("SELECT -n_nationkey AS negated, n_nationkey - 30 AS below FROM nation")
+def project_negative(spark, d):
+    return _t(spark, d, "nation", "n_nationkey").select((-c("n_nationkey")).alias("negated"), (c("n_nationkey") + F.lit(-30)).alias("below"))
+
+
+@_query("SELECT l_returnflag, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12, 2))) AS VARCHAR) AS total FROM lineitem GROUP BY l_returnflag")
+def group_sum_decimal(spark, d):
+    rows = _t(spark, d, "lineitem", "l_returnflag", "l_extendedprice").withColumn("price", c("l_extendedprice").cast("decimal(12, 2)"))
+    return relational.aggregate(rows, ["l_returnflag"], total=F.sum("price").cast("string"))
+
+
+@_query("SELECT r_regionkey, r_regionkey + 100 AS moved FROM region")
+def add_remove_column(spark, d):
+    return columnar.remove_column(columnar.add_column(_t(spark, d, "region"), "moved", c("r_regionkey") + 100), "r_name")
+
+
+@_query("SELECT 0 AS k, 'a' AS v WHERE FALSE")
+def equal_tables(spark, d):
+    region = _t(spark, d, "region")
+    return columnar.same_rows(region, region.repartition(3)).select(c("r_regionkey").cast("int").alias("k"), c("r_name").alias("v"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -99,6 +99,7 @@ class Engine:
             raise ValueError(f"no such paradigm: {paradigm}; there are {', '.join(PARADIGMS)}")
         self.spark, self.db_dir, self.paradigm = spark, db_dir, paradigm
         self.tables = catalog.register(spark, db_dir)
+        self._arrow = {n: p for n, p in catalog.tables(spark, db_dir).items() if p.endswith(".arrow")}
 
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
         return self.tables[name].select(*columns) if columns else self.tables[name]
@@ -108,9 +109,21 @@ class Engine:
 
     def sql(self, text: str) -> DataFrame:
         """The result of a query, lazily; names are those of this engine's tables."""
+        text = text.strip().rstrip(";")
         for n, df in self.tables.items():  # another engine may have taken the names meanwhile
             df.createOrReplaceTempView(n)
-        return self.spark.sql(text.strip().rstrip(";"))
+        whole = self.spark.sql(text)
+        if not self._arrow:
+            return whole
+        # The optimizer doesn't prune what a Python data source reads, so the query is analysed again over the columns it uses.
+        used = catalog.used_columns(whole)
+        for n, path in self._arrow.items():
+            if columns := used.get(path):
+                catalog.read_table(self.spark, path, columns).createOrReplaceTempView(n)
+        pruned = self.spark.sql(text)
+        for n in self._arrow:
+            self.tables[n].createOrReplaceTempView(n)
+        return pruned
 
     def prepare(self, text: str, summarise: bool = False) -> PreparedQuery:
         start = time.perf_counter()
@@ -140,4 +153,5 @@ class Engine:
         kept = catalog.preload(self.tables[name], columns)
         kept.createOrReplaceTempView(name)
         self.tables[name] = kept
+        self._arrow.pop(name, None)
         return kept

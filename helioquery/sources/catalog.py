@@ -40,6 +40,31 @@ def register(spark: SparkSession, db_dir: str, names: list[str] | None = None, v
     return found
 
 
+def used_columns(df: DataFrame) -> dict[str, list[str]]:
+    """Of each Arrow source that a query reads (by path), the columns that the optimized plan refers to."""
+    referred: set[int] = set()
+    scans: list[tuple[str, list[tuple[int, str]]]] = []
+
+    def each(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def walk(node) -> None:
+        referred.update(a.exprId().id() for a in each(node.references().toSeq()))
+        for inner in (*each(node.children()), *each(node.subqueries())):
+            walk(inner)
+        if node.nodeName() == "DataSourceV2ScanRelation" and (path := node.relation().options().get("path")):
+            scans.append((path, [(a.exprId().id(), a.name()) for a in each(node.output())]))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    walk(plan)
+    referred.update(a.exprId().id() for a in each(plan.output()))
+    out: dict[str, list[str]] = {}
+    for path, columns in scans:
+        held = out.setdefault(path, [])
+        held += [name for i, name in columns if i in referred and name not in held]
+    return out
+
+
 def preload(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The table or some columns of it, kept on the executors (memory, then disk) for repeated queries."""
     return (df.select(*columns) if columns else df).persist()

@@ -137,3 +137,27 @@ def test_prepared_query_is_lazy(engine):
     start = time.perf_counter()
     engine.prepare("SELECT SUM(a.l_quantity) FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey")
     assert time.perf_counter() - start < 5
+
+
+def test_arrow_scans_read_the_columns_used(spark, data, duck):
+    top = queries._arrow(spark, data, "customer", "nation")
+    over = Engine(spark, top)
+
+    def read(df):
+        plan, out = df._jdf.queryExecution().optimizedPlan().toString(), {}
+        for line in filter(lambda x: "RelationV2" in x, plan.splitlines()):
+            names = line.split("RelationV2", 1)[1].split("[", 1)[1].split("]", 1)[0]
+            out[len(out)] = sorted(x.split("#")[0].strip() for x in names.split(",") if x.strip())
+        return sorted(out.values())
+
+    assert read(over.sql("SELECT c_acctbal FROM customer")) == [["c_acctbal"]]
+    assert read(over.plan("S;customer;true;0")) == [["c_custkey"]]
+    q = "SELECT n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+    assert read(over.sql(q)) == [["c_nationkey"], ["n_name", "n_nationkey"]]
+    same(over.sql(q), duck, q)
+    for q in (queries._ARROW_SQL, "SELECT COUNT(*) AS n FROM customer",
+              "WITH x AS (SELECT * FROM customer) SELECT a.c_custkey, b.c_name FROM x a JOIN x b ON a.c_custkey = b.c_custkey WHERE a.c_nationkey = 3",
+              "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0)"):
+        same(over.sql(q), duck, q)
+    over.cache("nation")
+    assert over.sql("SELECT n_name FROM nation").count() == over.sql("SELECT * FROM nation").count()
