@@ -76,10 +76,16 @@ def outcome(work: Callable[[], DataFrame], spark: SparkSession, tag: str) -> Dat
             _SCRATCH.reset(token)
         for path in mine:
             delete(spark, path)
+        release(spark)
         gone = set(mine)
         _WRITTEN[:] = [w for w in _WRITTEN if w[1] not in gone]
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, which ended plans hold: Spark cleans their broadcasts and shuffles, on executors too, only then."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """``names`` with a prefix that none of ``columns`` begins with, for helper columns beside a user's."""
     prefix, taken = "_hq_", [c.lower() for c in columns]

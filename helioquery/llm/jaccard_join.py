@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, join_hot, mix, outcome, partitions, shingle_hashes, ship, slices, trim, word_hashes, written
+from .common import FOLD, join_hot, mix, outcome, partitions, release, shingle_hashes, ship, slices, trim, word_hashes, written
 from .components import components
 
 _RING = 1.5
@@ -485,6 +485,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, metric: Metric, id_col:
         return verified(pairs, fetch(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), classes=classes), metric)
 
     first = verify(near_pivot(regions, metric))
+    release(docs.sparkSession)
 
     # The least pivot that a class is linked with, or that this one is linked with; a pivot is less than its region's members.
     hop = written(first.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("m")), "hop")
@@ -495,6 +496,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, metric: Metric, id_col:
     members = anchored.join(unlike, "p", "left_semi").join(side.withColumnRenamed("c", "x"), "x").select(F.col("p").alias("r"), "x", "n", "sketch", F.lit(True).alias("home"), "anchor")
     members, links = voronoi(written(members, "members"), metric, verify, region_rows)
     members = written(members, "leaves")
+    release(docs.sparkSession)
 
     grouped = in_blocks(members, region_rows, 16 * region_shingles).groupBy("r", "i", "j")
     still = written(grouped.applyInArrow(open_members(metric), "r long, x long").distinct(), "open")
