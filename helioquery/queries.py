@@ -405,7 +405,7 @@ def filter_shift_and(spark, d):
 OR NOT (o_orderpriority IN ('1-URGENT', '2-HIGH') OR CAST(o_totalprice AS BIGINT) > 200000)""")
 def filter_null_in_cast(spark, d):
     cheap = F.when(c("o_totalprice") < 100000, F.lit(None)).otherwise(c("o_orderpriority"))
-    whole = F.round("o_totalprice").cast("long")
+    whole = F.rint("o_totalprice").cast("long")  # as the SQL's cast: halves to the even number
     return _t(spark, d, "orders").filter(cheap.isNull() | ~(c("o_orderpriority").isin("1-URGENT", "2-HIGH") | (whole > 200000))).select("o_orderkey")
 
 
